@@ -209,8 +209,8 @@ def _with_hubs(postings: DataFrame, num: int, keep_single: bool) -> DataFrame:
     return dealt.mapInArrow(run, "t long, salt int, sig long, n int, pos int, hub long, hub_n int")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(sig, text) of the wanted sets, one text of each."""
+def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(sig, text) of the wanted sets and some others, of copies in a task one."""
     bit = F.pmod("sig", F.lit(_BIT_SPACE)) + 1
     maps = wanted.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
     bits = np.zeros(_BIT_SPACE, bool)
@@ -230,19 +230,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> Data
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), batch.column(1).take(pa.array(list(seen.values())))], names=["sig", "text"])
 
-    found = docs.mapInArrow(run, "sig long, text string").join(wanted.select(F.col("sig").alias("w")), F.col("sig") == F.col("w"), "left_semi")
-    return scratch.save(found.groupBy("sig").agg(F.first("text").alias("text")))
+    return docs.mapInArrow(run, "sig long, text string")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sets whose similarity is num / 100 or more."""
-    ends = scratch.save(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
-    texts = _texts(docs, ends, k, scratch)
     # A set with very many partners is dealt to several tasks.
     many = pairs.groupBy("b").count().where("count > 512").select(F.col("b").alias("m"), F.ceil(F.col("count") / 256).alias("parts"))
     dealt = pairs.join(many, F.col("b") == F.col("m"), "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0).cast("bigint")).alias("salt"))
-    members = dealt.join(texts, F.col("a") == F.col("sig")).select("b", "salt", "a", "text")
-    hubs = dealt.select("b", "salt").distinct().join(texts, F.col("b") == F.col("sig")).select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+    needs = dealt.select("b", "salt", "a", F.col("a").alias("need")).unionByName(dealt.select("b", "salt").distinct().select("b", "salt", F.lit(None).cast("long").alias("a"), F.col("b").alias("need")))
+    needs = scratch.save(needs)
+    texts = _texts(docs, needs.select(F.col("need").alias("sig")), k)
 
     def run(batches):
         hub, mine = None, None
@@ -261,8 +259,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, scratch: Scra
                 x, y = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    both = members.unionByName(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
-    return scratch.save(both.mapInArrow(run, "a long, b long"))
+    met = texts.join(needs, F.col("sig") == F.col("need")).select("b", "salt", "a", "text")
+    met = met.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    out = scratch.save(met.mapInArrow(run, "a long, b long").distinct())
+    del met, texts, dealt
+    scratch.release()
+    return out
+
+
+def _least_shared(num: int, x: str, y: str) -> Column:
+    """Columns that two similar rows of these sizes share among their first ones, at least.
+
+    They share need = ceil(num / (100 + num) * (x + y)) columns, so of x's first
+    x - ceil(num / 100 * x) + 1 all but x - need are shared, of y's likewise, and
+    the shared ones come in one order.
+    """
+    need = F.expr(f"({num} * ({x} + {y}) + {99 + num}) div {100 + num}")
+    return F.least(need - F.expr(f"({num} * {x} + 99) div 100"), need - F.expr(f"({num} * {y} + 99) div 100")) + 1
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: int = 75) -> DataFrame:
@@ -288,8 +301,12 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     columns = scratch.save(_with_hubs(_postings(d, k, similarity, levels).withColumn("salt", salt), similarity, True))
     tops = columns.where("salt > 0 and sig = hub").withColumn("salt", F.lit(0))
     upper = _with_hubs(tops.select("t", "salt", "sig", "n", "pos"), similarity, False)
-    pairs = columns.select(F.col("sig").alias("a"), F.col("hub").alias("b")).unionByName(upper.select(F.col("sig").alias("a"), F.col("hub").alias("b")))
-    pairs = scratch.save(pairs.where("a <> b").distinct())
+    hubs = columns.select("sig", "n", "hub", "hub_n").unionByName(upper.select("sig", "n", "hub", "hub_n")).where("sig <> hub")
+    # Of a set's hubs the one it meets most often, if often enough to be like it; what this leaves out is taken up below.
+    counted = hubs.groupBy("sig", "n", "hub", "hub_n").count().where(3 * F.col("count") >= _least_shared(similarity, "n", "hub_n"))
+    pairs = scratch.save(counted.groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("top")).select(F.col("sig").alias("a"), F.col("top.hub").alias("b")))
+    del hubs, counted, upper, tops
+    scratch.release()
     links = _verified(d, pairs, k, similarity, scratch)
     members = scratch.save(connected_components(links, scratch))
 
@@ -302,9 +319,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def side(p: str) -> DataFrame:
         return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component")])
 
-    fits: Column = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n")))
-    rest = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits)
-    rest = rest.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
+    fits = 100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")
+    met = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits)
+    met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n").count()
+    rest = met.where(F.col("count") >= _least_shared(similarity, "x_n", "y_n")).select("a", "b")
     seen = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"))
     for p, q in (("p_a", "p_b"), ("p_b", "p_a")):
         rest = rest.join(seen, (F.col("a") == F.col(p)) & (F.col("b") == F.col(q)), "left_anti")

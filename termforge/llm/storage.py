@@ -6,6 +6,7 @@ that setting is missing (unit tests on one machine) a local folder is set.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,3 +49,8 @@ class Scratch:
         """Delete a saved table that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def release(self) -> None:
+        """Let the driver drop the shuffle files of plans that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
