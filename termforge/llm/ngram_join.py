@@ -8,7 +8,7 @@ only these enter the product (size-derived bound).  Documents with one set are
 one row of the matrix.
 
 Within a column the rows are first multiplied with one row of like size (the
-hub), which joins a large group of copies by a number of products linear in its
+hub, the one with the fewest columns of its own), which joins a large group of copies by a number of products linear in its
 size.  Components of these links tell which products are still open: pairs in
 one column but different components, within the size and position bounds.  All
 candidates are verified by the overlap of their whole sets.
@@ -154,59 +154,58 @@ def _postings(docs: DataFrame, k: int, num: int, levels) -> DataFrame:
     return docs.mapInArrow(run, "t long, sig long, n int, pos int")
 
 
-def _with_hubs(postings: DataFrame, num: int, keep_single: bool) -> DataFrame:
-    """The rows of columns with two sets or more, each with the hub of its column and size.
+def _shared_columns(postings: DataFrame) -> DataFrame:
+    """The postings of columns with two sets or more, and all of columns dealt by salt.
 
-    Columns arrive sorted by (t, salt, n, sig).  The hub is the smallest set; the
-    first set too large for it is the next hub.  Only the open hub is carried
-    from batch to batch.
+    Rows arrive sorted by (t, salt, n, sig); only a column's first row is carried
+    from batch to batch, while it is alone.
     """
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    names = ["t", "sig", "n", "pos"]
 
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
-    names = ["t", "salt", "sig", "n", "pos", "hub", "hub_n"]
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), kinds)], names=names)
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
-        last = hub = alone = None  # the last row's column; the open hub; the column's only set so far
+        last = alone = None  # the last row's column; the column's only row so far
         for batch in batches:
             t, salt, sig, n, pos = (batch.column(c).to_numpy() for c in ("t", "salt", "sig", "n", "pos"))
             m = len(t)
             if not m:
                 continue
             before = np.empty(m, bool)
-            before[0] = last == (int(t[0]), int(salt[0]))
+            before[0] = last is not None and last[:2] == (t[0], salt[0])
             before[1:] = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1])
-            wanted = before.copy()
-            wanted[:-1] |= before[1:]
-            wanted[-1] = True  # its column may go on in the next batch
-            if keep_single:
-                wanted |= salt > 0
-            out: list[tuple] = []
-            for i in np.flatnonzero(wanted).tolist():
-                row = (int(t[i]), int(salt[i]), int(sig[i]), int(n[i]), int(pos[i]))
-                if not before[i]:
-                    if keep_single and alone is not None and alone[1]:
-                        out.append((*alone, alone[2], alone[3]))
-                    hub = alone = row
-                    newest = row[2]
-                elif row[2] != newest:
-                    newest = row[2]
-                    if alone is not None:
-                        out.append((*alone, alone[2], alone[3]))
-                        alone = None
-                    if 100 * hub[3] < num * row[3]:
-                        hub = row
-                    out.append((*row, hub[2], hub[3]))
-            last = (int(t[-1]), int(salt[-1]))
-            if out:
-                yield batch_of(out)
-        if keep_single and alone is not None and alone[1]:
-            yield batch_of([(*alone, alone[2], alone[3])])
+            copy = np.zeros(m, bool)
+            copy[0] = before[0] and last[2] == sig[0]
+            copy[1:] = before[1:] & (sig[1:] == sig[:-1])
+            last = t[-1], salt[-1], sig[-1]
+            if copy.any():
+                keep = np.flatnonzero(~copy)
+                if not len(keep):
+                    continue
+                t, salt, sig, n, pos = (x[keep] for x in (t, salt, sig, n, pos))
+                first = bool(before[0]) and (keep[0] == 0 or bool(copy[: keep[0]].all()))
+                before = np.empty(len(t), bool)
+                before[0] = first
+                before[1:] = (t[1:] == t[:-1]) & (salt[1:] == salt[:-1])
+            met = before.copy()
+            met[:-1] |= before[1:]
+            head = []
+            if alone is not None and before[0]:
+                head, alone = [alone], None
+            elif alone is not None:
+                alone = None
+            met |= salt > 0
+            if not met[-1]:
+                alone = (int(t[-1]), int(sig[-1]), int(n[-1]), int(pos[-1]))
+            if head:
+                yield batch_of(head)
+            if met.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[met], k) for x, k in zip((t, sig, n, pos), kinds)], names=names)
 
     dealt = postings.repartition("t", "salt").sortWithinPartitions("t", "salt", "n", "sig")
-    return dealt.mapInArrow(run, "t long, salt int, sig long, n int, pos int, hub long, hub_n int")
+    return dealt.mapInArrow(run, "t long, sig long, n int, pos int")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -298,14 +297,22 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     levels = spark.sparkContext.broadcast(_levels(_counters(described)))
 
     salt = F.when(F.shiftrightunsigned("t", 58) >= _HOT_LEVEL, 1 + F.pmod("sig", F.lit(16))).otherwise(F.lit(0)).cast("int")
-    columns = scratch.save(_with_hubs(_postings(d, k, similarity, levels).withColumn("salt", salt), similarity, True))
-    tops = columns.where("salt > 0 and sig = hub").withColumn("salt", F.lit(0))
-    upper = _with_hubs(tops.select("t", "salt", "sig", "n", "pos"), similarity, False)
-    hubs = columns.select("sig", "n", "hub", "hub_n").unionByName(upper.select("sig", "n", "hub", "hub_n")).where("sig <> hub")
+    columns = scratch.save(_shared_columns(_postings(d, k, similarity, levels).withColumn("salt", salt)))
+    scratch.release()
+    # The hub of a column: of each size class the row with the least columns of its own, so that a
+    # text is preferred to its edited copies.  Two overlapping series of size classes are used.
+    degree = columns.groupBy(F.col("sig").alias("d_sig")).agg((F.count("*") / F.first(F.expr(f"n - ({similarity} * n + 99) div 100 + 1"))).alias("shared"))
+    graded = columns.select("t", "sig", "n").join(degree, F.col("sig") == F.col("d_sig"))
+    size = 2 * F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similarity))
+    graded = graded.withColumn("band", F.explode(F.array(F.floor(size / 2), F.lit(1 << 20) + F.floor((size + 1) / 2)))).select("t", "band", "sig", "n", "shared")
+    graded = scratch.save(graded)
+    tops = graded.groupBy("t", "band").agg(F.max(F.struct("shared", "sig", "n")).alias("h"), F.count("*").alias("m")).where("m > 1").select(F.col("t").alias("h_t"), F.col("band").alias("h_band"), F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"))
+    hubs = graded.join(tops, (F.col("t") == F.col("h_t")) & (F.col("band") == F.col("h_band"))).where("sig <> hub").select("t", "sig", "n", "hub", "hub_n").distinct()
     # Of a set's hubs the one it meets most often, if often enough to be like it; what this leaves out is taken up below.
     counted = hubs.groupBy("sig", "n", "hub", "hub_n").count().where(3 * F.col("count") >= _least_shared(similarity, "n", "hub_n"))
     pairs = scratch.save(counted.groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("top")).select(F.col("sig").alias("a"), F.col("top.hub").alias("b")))
-    del hubs, counted, upper, tops
+    del hubs, counted, tops
+    scratch.discard(graded)
     scratch.release()
     links = _verified(d, pairs, k, similarity, scratch)
     members = scratch.save(connected_components(links, scratch))
