@@ -13,6 +13,7 @@ document's grams are shuffled one by one.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -240,6 +241,17 @@ class _Lookup:
         return out
 
 
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, the low bytes of all first."""
+    step = np.diff(keys, prepend=np.zeros(1, np.uint64))
+    return zlib.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, classes: int, form: Callable, *, order: int = ORDER, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` with total (sum of the gram values), n_grams and peak added; text is dropped.
 
@@ -251,53 +263,89 @@ def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, class
     n_salts = max(1, -(-n_blocks // 256))
     others = [c for c in docs.columns if c != "text"]
     # Block by a hash of the whole row: copies of a text have other ids and spread.
-    dealt = docs.select(*others, "text", F.pmod(F.xxhash64(*others, "text"), F.lit(n_blocks)).cast("long").alias("block"))
+    dealt = docs.select(F.pmod(F.xxhash64(*others, "text"), F.lit(n_blocks)).cast("long").alias("block"), *others, "text")
+    names = [*others, "text"]
 
-    def chunks(table: pa.Table):
-        data, offsets = tb.string_bytes(table.column("text"))
+    def pack(batches):
+        for batch in batches:
+            block = batch.column(0).to_numpy()
+            order = np.argsort(block, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) != 0])) if len(order) else order
+            rows = pa.RecordBatch.from_arrays(batch.columns[1:], names=names)
+            keys, packs = [], []
+            for own in np.split(order, first[1:]) if len(order) else ():
+                sink = pa.BufferOutputStream()
+                part = rows.take(pa.array(own))
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                keys.append(int(block[own[0]]))
+                packs.append(sink.getvalue().to_pybytes())
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packs, pa.binary())], names=["block", "pack"])
+
+    packed = dealt.mapInArrow(pack, "block long, pack binary")
+
+    def unpacked(table: pa.Table):
+        """The block's rows, one pack at a time; packs in one order."""
+        for raw in sorted(table.column("pack").to_pylist()):
+            yield pa.ipc.open_stream(raw).read_all()
+
+    def chunks(rows: pa.Table):
+        data, offsets = tb.string_bytes(rows.column("text"))
         for a, b in tb.row_chunks(offsets):
             yield a, b, *grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], form, order)
 
+    def wanted_by(table: pa.Table) -> np.ndarray:
+        kept: list[np.ndarray] = []
+        for rows in unpacked(table):
+            kept += [np.unique(k) for _, _, k, _ in chunks(rows)]
+            if len(kept) > 8:
+                kept = [distinct(kept)]
+        return distinct(kept)
+
     def need(table: pa.Table) -> pa.Table:
-        wanted = distinct([np.unique(k) for _, _, k, _ in chunks(table)])
         block = table.column("block")[0].as_py()
-        rows = [(s, block % n_salts, block, k.tobytes()) for s, k in split(wanted)]
+        rows = [(s, block % n_salts, block, _squeeze(k)) for s, k in split(wanted_by(table))]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "salt", "block", "keys"])
 
-    needed = dealt.groupBy("block").applyInArrow(need, "shard long, salt long, block long, keys binary")
+    needed = packed.groupBy("block").applyInArrow(need, "shard long, salt long, block long, keys binary")
     counted = model.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long"))).alias("salt"), "keys", "counts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks, packed = left.column("block").to_pylist(), left.column("keys").to_pylist()
-        wanted = [np.frombuffer(k, np.uint64) for k in packed]
         if right.num_rows:
             keys = np.frombuffer(right.column("keys")[0].as_py(), np.uint64)
             counts = np.frombuffer(right.column("counts")[0].as_py(), np.int64).reshape(-1, classes)
         else:
             keys, counts = np.zeros(0, np.uint64), np.zeros((0, classes), np.int64)
-        if not blocks:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary()), pa.array([], pa.binary())], names=["block", "keys", "values"])
+        blocks = left.column("block").to_pylist() if left.num_rows else []
+        wanted = [_unsqueeze(k) for k in left.column("keys").to_pylist()] if blocks else []
         union = distinct(wanted)
-        values = evaluate(keys, counts, union).astype(np.float32)
+        values = evaluate(keys, counts, union).astype(np.float32) if len(union) else np.zeros(0, np.float32)
         back = [values[np.searchsorted(union, w)].tobytes() for w in wanted]
-        return pa.table([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary()), pa.array(back, pa.binary())], names=["block", "keys", "values"])
+        shard = left.column("shard").to_pylist() if blocks else []
+        return pa.table([pa.array(blocks, pa.int64()), pa.array(shard, pa.int64()), pa.array(back, pa.binary())], names=["block", "shard", "values"])
 
-    valued = needed.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInArrow(meet, "block long, keys binary, values binary")
+    valued = needed.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInArrow(meet, "block long, shard long, values binary")
 
     fields = {c: docs.schema[c].dataType.simpleString() for c in others}
-    names = [*others, "total", "n_grams", "peak"]
+    outs = [*others, "total", "n_grams", "peak"]
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k in right.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
-        values = np.concatenate([np.frombuffer(k, np.float32) for k in right.column("values").to_pylist()] or [np.zeros(0, np.float32)])
-        look = _Lookup(keys, values)
-        sums, counts, peaks = np.zeros(left.num_rows), np.zeros(left.num_rows, np.int64), np.zeros(left.num_rows)
-        for a, b, k, first in chunks(left) if left.num_rows else ():
-            v = look(k).astype(np.float64)
-            sums[a:b] = np.add.reduceat(v, first[:-1])
-            counts[a:b] = np.diff(first)
-            peaks[a:b] = np.maximum.reduceat(v, first[:-1])
-        return pa.table([*[left.column(c) for c in others], pa.array(sums), pa.array(counts), pa.array(peaks)], names=names)
+        by_shard = dict(zip(right.column("shard").to_pylist(), right.column("values").to_pylist()))
+        parts = [(k, np.frombuffer(by_shard[s], np.float32)) for s, k in split(wanted_by(left))] if left.num_rows else []
+        done = []
+        if parts:
+            look = _Lookup(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))
+            for rows in unpacked(left):
+                n = rows.num_rows
+                sums, counts, peaks = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
+                for a, b, k, first in chunks(rows):
+                    v = look(k).astype(np.float64)
+                    sums[a:b] = np.add.reduceat(v, first[:-1])
+                    counts[a:b] = np.diff(first)
+                    peaks[a:b] = np.maximum.reduceat(v, first[:-1])
+                done.append(pa.table([*[rows.column(c) for c in others], pa.array(sums), pa.array(counts), pa.array(peaks)], names=outs))
+        return pa.concat_tables(done)
 
     schema = ", ".join([*[f"`{c}` {t}" for c, t in fields.items()], "total double", "n_grams long", "peak double"])
-    return dealt.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(total, schema)
+    return packed.groupBy("block").cogroup(valued.groupBy("block")).applyInArrow(total, schema)

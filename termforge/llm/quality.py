@@ -29,7 +29,7 @@ def log_probability(short: np.ndarray, order: int = ORDER):
     return evaluate
 
 
-def quality_scores(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99, slack: float = 1.5, least: int = 20) -> DataFrame:
+def quality_scores(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", quantile: float = 0.99, slack: float = 1.25, least: int = 20) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, keep) of every document row.
 
     ``trusted`` has the doc_id of every trusted document.  Of these, the rows of
