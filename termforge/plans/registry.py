@@ -1,11 +1,16 @@
 """All queries of the library by name, with their SQL equivalents."""
 
+from __future__ import annotations
+
+from .oracles import ORACLES
+from .queries import QUERIES
+
 FLAGSHIP = "mine_dirichlet_logodds"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
