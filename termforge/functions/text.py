@@ -73,6 +73,7 @@ def token_set(c, pattern: str = TOKEN) -> Column:
 
 
 def ngrams(toks, n: int) -> Column:
+    """N-grams of a column of tokens; give a column, not an expression, or it is evaluated for each n-gram."""
     t = col(toks)
     return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -73,8 +74,6 @@ def turn_pairs(conversations: DataFrame) -> DataFrame:
 
 def rouge_l(source: str, candidate: str) -> Column:
     """F1 of the longest common token subsequence, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x, y) -> float:
@@ -103,8 +102,6 @@ def arm_stats(events: DataFrame) -> DataFrame:
 
 def suppress_overlaps(spans: DataFrame) -> DataFrame:
     """Greedy suppression of spans (doc_id, term, start, end, source, technical) that overlap a kept one by more than half."""
-    import pandas as pd
-
     ranks = {"entity": 3, "noun_chunk": 2, "compound": 1, "yake": 0}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

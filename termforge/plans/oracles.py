@@ -159,13 +159,17 @@ ORACLES = {
     "analog_cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
       s AS (SELECT p.vec_id AS probe, v.vec_id, round(list_dot_product(v.e, p.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(p.e, p.e))), 6) AS cosine FROM v JOIN v p ON p.vec_id < 20 AND p.vec_id <> v.vec_id)
       SELECT probe, vec_id, cosine, CAST(row_number() OVER (PARTITION BY probe ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
-    "evidence_snippets": rf"""WITH {_TRI}, g AS (SELECT DISTINCT doc_id, lang, c, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS term FROM (SELECT doc_id, lang, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS c, regexp_extract_all(lower(text), '{_TOK}') AS w FROM documents))
-      SELECT lang, term, doc_id, CAST(row_number() OVER (PARTITION BY lang, term ORDER BY doc_id) AS INTEGER) AS k FROM g WHERE term IN (SELECT term FROM tri) AND contains(c, term) QUALIFY k <= 2""",
+    "evidence_snippets": rf"""WITH {_TRI}, wt AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{_TOK}') AS w FROM documents),
+      tk AS (SELECT doc_id, lang, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM wt),
+      g3 AS (SELECT doc_id, lang, t || ' ' || lead(t) OVER v || ' ' || lead(t, 2) OVER v AS term FROM tk WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+      g AS (SELECT DISTINCT doc_id, lang, term FROM g3 WHERE term IN (SELECT term FROM tri)),
+      c AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS c FROM documents)
+      SELECT lang, term, doc_id, CAST(row_number() OVER (PARTITION BY lang, term ORDER BY doc_id) AS INTEGER) AS k FROM g JOIN c USING (doc_id) WHERE contains(c, term) QUALIFY k <= 2""",
     "pair_jaccard": f"WITH {_PAIRS}, {_JAC} SELECT * FROM jac",
     "lex_evidence": f"WITH {_GRID}, {_PAIRS}, {_EV} SELECT p.conv_id, p.turn, coalesce(round(ev, 6), 0) AS evidence, coalesce(hits, 0) AS hits FROM pairs p LEFT JOIN ev USING (conv_id, turn)",
     "rerank_best": f"""WITH {_GRID}, {_PAIRS}, {_JAC}, {_EV},
-      s AS (SELECT conv_id, turn, jaccard AS semantic, round(coalesce(ev, 0), 6) AS evidence FROM jac LEFT JOIN ev USING (conv_id, turn)),
-      t AS (SELECT *, round(CASE WHEN semantic >= 0.05 THEN 0.5 + 0.35 * evidence - 0.5 * greatest(0, semantic - 0.86) ELSE -1e9 END, 6) AS total FROM s)
+      cand AS (SELECT conv_id, turn, jaccard AS semantic, round(coalesce(ev, 0), 6) AS evidence FROM jac LEFT JOIN ev USING (conv_id, turn)),
+      t AS (SELECT *, round(CASE WHEN semantic >= 0.05 THEN 0.5 + 0.35 * evidence - 0.5 * greatest(0, semantic - 0.86) ELSE -1e9 END, 6) AS total FROM cand)
       SELECT *, total > -1e8 AS eligible FROM t QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY total DESC, turn) = 1""",
     "autotune_grid": f"WITH {_PAIRS}, {_JAC} SELECT min_sem, weight, round(avg(jaccard * weight), 6) AS score, round(avg(CAST(jaccard < min_sem AS DOUBLE)), 6) AS fallback FROM jac, (VALUES (0.0::DOUBLE), (0.05), (0.1), (0.15)) f(min_sem), (VALUES (0.2::DOUBLE), (0.35), (0.5), (0.8)) w(weight) GROUP BY ALL",
     "eval_rates": rf"SELECT role, count(*) AS turns, round(avg(CAST(n < 20 AS DOUBLE)), 6) AS short_rate, round(avg(n), 6) AS avg_tokens, round(CAST(median(n) AS DOUBLE), 6) AS median_tokens FROM (SELECT role, len(regexp_extract_all(lower(text), '{_TOK}')) AS n FROM conversations) GROUP BY 1",
@@ -186,7 +190,7 @@ ORACLES = {
     "merge_keep_first": "SELECT md5(text) AS key, doc_id, CAST(CASE WHEN doc_id % 2 = 1 THEN 0 ELSE 1 END AS INTEGER) AS file_idx FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id % 2 DESC, doc_id) = 1",
     "sibling_reassign": "SELECT CASE WHEN lang = 'fr' AND contains(lower(text), 'tion') THEN 'fr_tion' ELSE lang END AS lang, count(*) AS n FROM documents GROUP BY 1",
     "duplicate_counts": "SELECT source, count(*) - count(DISTINCT text) AS duplicates FROM documents GROUP BY 1",
-    "bandit_arms": "SELECT user_id AS route, event_type AS action, count(*) AS pulls, round(sum(value), 4) AS total, round(avg(value), 4) AS mean FROM events GROUP BY ALL",
+    "bandit_arms": "SELECT user_id AS route, event_type AS action, count(*) AS pulls, round(sum(value), 6) AS total, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
     "bandit_choice": "WITH a AS (SELECT user_id AS route, event_type AS action, round(avg(value), 6) AS mean FROM events GROUP BY ALL) SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY route ORDER BY mean DESC, action) = 1",
     "bandit_running": "SELECT event_id, count(*) OVER w AS pulls, round(sum(value) OVER w, 3) AS total FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
     "feedback_upsert": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",

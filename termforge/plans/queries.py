@@ -147,7 +147,7 @@ def phrase_style_topic(spark, d):
 
 @query
 def phrase_valid(spark, d):
-    b = tab(spark, d, "benchmark").select("item_id", F.explode(T.ngrams(T.tokens("text"), 2)).alias("p"))
+    b = tab(spark, d, "benchmark").select("item_id", T.tokens("text").alias("toks")).select("item_id", F.explode_outer(T.ngrams("toks", 2)).alias("p")).where("p is not null")
     return b.select("item_id", T.normalize_phrase("p").alias("phrase"), T.valid_phrase(T.normalize_phrase("p"), True).alias("ok")).distinct()
 
 
@@ -159,7 +159,7 @@ def phrase_tech_patterns(spark, d):
 
 def _trigrams(spark, d):
     """Lexicon phrases: the benchmark's trigrams."""
-    return tab(spark, d, "benchmark").select("item_id", F.explode(T.ngrams(T.tokens("text"), 3)).alias("term")).distinct()
+    return tab(spark, d, "benchmark").select("item_id", T.tokens("text").alias("toks")).select("item_id", F.explode_outer(T.ngrams("toks", 3)).alias("term")).where("term is not null").distinct()
 
 
 def _style(spark, d):
@@ -181,7 +181,7 @@ def lexicon_gate(spark, d):
 
 @query
 def lexicon_keep_first(spark, d):
-    t = tab(spark, d, "benchmark").select("item_id", F.posexplode(T.ngrams(T.tokens("text"), 2)).alias("pos", "term"))
+    t = tab(spark, d, "benchmark").select("item_id", T.tokens("text").alias("toks")).select("item_id", F.posexplode_outer(T.ngrams("toks", 2)).alias("pos", "term")).where("term is not null")
     w = Window.partitionBy("term").orderBy("item_id", "pos")
     return t.withColumn("k", F.row_number().over(w)).where("k = 1").select("item_id", "pos", "term")
 
@@ -230,8 +230,12 @@ def analog_cosine_topk(spark, d):
 @query
 def evidence_snippets(spark, d):
     probes = _trigrams(spark, d).select("term").distinct()
-    grams = docs(spark, d).select("doc_id", "lang", "text", F.explode(F.array_distinct(T.ngrams(T.tokens("text"), 3))).alias("term"))
-    hit = grams.join(probes, "term").where(F.contains(F.lower(T.collapse("text")), F.col("term")))
+    toks = docs(spark, d).select("doc_id", "lang", T.tokens("text").alias("toks"))
+    grams = toks.select("doc_id", "lang", F.explode_outer(F.array_distinct(T.ngrams("toks", 3))).alias("term"))
+    found = grams.join(probes, "term").select("doc_id", "lang", "term")
+    # The phrase is verified in the text only for the documents that have its tokens.
+    body = docs(spark, d).select("doc_id", F.lower(T.collapse("text")).alias("body"))
+    hit = found.join(body, "doc_id").where(F.contains("body", F.col("term")))
     w = Window.partitionBy("lang", "term").orderBy("doc_id")
     top = hit.withColumn("k", F.row_number().over(w)).where("k <= 2")
     return top.select("lang", "term", "doc_id", "k")
@@ -252,7 +256,7 @@ def pair_rouge_l(spark, d):
 def _evidence(spark, d):
     lex = mining.mined(docs(spark, d), P).where("domain = 'en' and z > 0").select("term", r6("z").alias("z"))
     p = scoring.turn_pairs(tab(spark, d, "conversations"))
-    terms = p.select("conv_id", "turn", F.explode(T.token_set("candidate")).alias("term"))
+    terms = p.select("conv_id", "turn", F.explode_outer(T.token_set("candidate")).alias("term"))
     return p, terms.join(lex, "term")
 
 
@@ -387,7 +391,7 @@ def duplicate_counts(spark, d):
 @query
 def bandit_arms(spark, d):
     a = scoring.arm_stats(tab(spark, d, "events"))
-    return a.select("route", "action", "pulls", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"))
+    return a.select("route", "action", "pulls", r6("total").alias("total"), r6("mean").alias("mean"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,8 +26,6 @@ def ttl_hits(events: DataFrame, seconds: int) -> DataFrame:
 
     The answer depends on the key's earlier hits, so a key's events are walked in order.
     """
-    import pandas as pd
-
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "event_id"])
         written, out = None, []
@@ -37,5 +36,5 @@ def ttl_hits(events: DataFrame, seconds: int) -> DataFrame:
             out.append(hit)
         return pd.DataFrame({"event_id": pdf["event_id"], "hit": out})
 
-    rows = events.select("event_id", "user_id", "event_type", F.unix_micros("ts").alias("us")).withColumn("t", F.col("us") / 1e6)
+    rows = events.select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("t", F.col("us") / 1e6)
     return rows.groupBy("user_id", "event_type").applyInPandas(walk, "event_id long, hit boolean")
