@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -40,6 +42,55 @@ def analog_pairs(terms: DataFrame, pool: DataFrame, least: float, k: int) -> Dat
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("term", "candidate", "score", "rank")
 
 
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+    """(probe, vec_id, cosine, rank): each query's k vectors of highest cosine to 6 places but itself, ties to the smaller vec_id.
+
+    Both sides (vec_id, embedding) are dealt into blocks; a task holds one block of each.  Rows with a null id or without
+    a cosine (null or non-finite components, all zero) take no part; the shorter of two vectors counts as zero beyond its end.
+    """
+    def usable(df: DataFrame) -> DataFrame:
+        e = F.transform("embedding", lambda x: x.cast("double"))
+        fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("e", lambda x: x != 0)
+        return df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e")).where(F.col("vec_id").isNotNull() & fine)
+
+    q, c = usable(queries).dropDuplicates(["vec_id"]), usable(vectors)
+    q_blocks, c_blocks = max(1, -(-queries.count() // query_rows)), max(1, -(-vectors.count() // block_rows))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id", F.lit(11)), F.lit(q_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
+    c = c.withColumn("cb", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(c_blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
+
+    def rows(t: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        ids, lists = t.column("vec_id").to_numpy(), t.column("e").to_pylist()
+        order = np.argsort(ids, kind="stable")
+        return ids[order], [np.array(lists[i]) for i in order]
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        (q_ids, q_rows), (c_ids, c_rows) = rows(left), rows(right)
+        dims = np.zeros((max((len(r) for r in c_rows), default=0), len(c_ids)))
+        for i, r in enumerate(c_rows):
+            dims[: len(r), i] = r
+        square = np.zeros(len(c_ids))
+        for d in dims:  # summed in the order of the dimensions
+            square += d * d
+        out: list[tuple[int, int, float]] = []
+        for qid, row in zip(q_ids.tolist(), q_rows):
+            dot, own = np.zeros(len(c_ids)), 0.0
+            for x in row.tolist():
+                own += x * x
+            for x, d in zip(row.tolist(), dims):
+                dot += x * d
+            cosine = np.round(dot / (np.sqrt(square) * np.sqrt(own)), 6)
+            cosine[(c_ids == qid) | np.isnan(cosine)] = -np.inf
+            near = cosine >= (np.partition(cosine, len(cosine) - k)[len(cosine) - k] if len(cosine) > k else -1.0)
+            at = np.flatnonzero(near & (cosine > -np.inf))  # by vec_id
+            out += [(qid, int(c_ids[i]), float(cosine[i])) for i in at[np.argsort(-cosine[at], kind="stable")[:k]]]
+        probe, vec_id, cosine = zip(*out) if out else ((), (), ())
+        return pa.table([pa.array(probe, pa.int64()), pa.array(vec_id, pa.int64()), pa.array(cosine, pa.float64())], names=["probe", "vec_id", "cosine"])
+
+    part = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(search, "probe long, vec_id long, cosine double")
+    w = Window.partitionBy("probe").orderBy(F.desc("cosine"), "vec_id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("probe", "vec_id", "cosine", "rank")
+
+
 def native_score(in_lexicon: Column, is_acronym: Column, delta: Column, shares_token: Column) -> Column:
     return F.when(in_lexicon, 1.0).when(is_acronym, 0.8).when(delta.isNotNull(), T.sigmoid(delta)).when(shares_token, 0.25).otherwise(0.0)
 
