@@ -28,3 +28,15 @@ def test_cosine_queries_are_every_fiftieth_row(spark, tmp_path):
         want += [(p, i, -s, k) for k, (s, i) in enumerate(best, 1)]
     got = run(spark, tmp_path, "analog_cosine_topk")
     assert sorted(map(tuple, got), key=lambda r: (r[0], r[3])) == want
+
+
+def test_every_trigram_is_term_and_candidate(spark, tmp_path):
+    texts = {1: "one two three four two one", 3: "two three four five", 2: "six one two three", 4: "six seven eight", 5: None}
+    write(spark, tmp_path, "benchmark", list(texts.items()), "item_id long, text string")
+    terms = sorted({" ".join(w[i : i + 3]) for t in texts.values() if t for w in [t.split()] for i in range(len(w) - 2)})
+    want = set()
+    for a in terms:
+        x = set(a.split())
+        scores = sorted((-len(x & set(b.split())) / len(x | set(b.split())), b) for b in terms if b != a)
+        want |= {(a, b, round(-s, 6), k) for k, (s, b) in enumerate([r for r in scores if r[0] <= -0.2][:5], 1)}
+    assert set(map(tuple, run(spark, tmp_path, "analog_jaccard_topk"))) == want
