@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -9,21 +12,64 @@ from .. import config
 from ..functions import text as T
 
 
+_PARTS, _WORD = re.compile(r"[a-z][a-z0-9\-_/()]*|[^a-z]+"), re.compile(r"[a-z][a-z0-9\-_/]*")
+_NEVER = frozenset(config.ACADEMIC + config.VERB_LIKE + config.CONNECTORS)
+
+
+def text_terms(low: str) -> set[str]:
+    """Tokens of a lower-case text, and its bigrams and trigrams of adjacent_ngrams without a connecting word."""
+    p = _PARTS.findall(low)  # words and gaps in turn
+    if p and not "a" <= p[0][0] <= "z":
+        del p[0]
+    words, gaps = p[::2], p[1::2]
+    out = set(words)
+    for w in [w for w in out if "(" in w or ")" in w]:
+        out.discard(w)
+        out.update(_WORD.findall(w))
+    w0 = left = ""
+    for w, gap in zip(words, ["  ", *gaps]):  # left: the bigram that ends before w
+        if w in _NEVER:
+            w0 = left = ""
+            continue
+        if len(gap) != 1:
+            left = ""
+        elif w0:
+            pair = w0 + " " + w
+            out.add(pair)
+            if left:
+                out.add(left + " " + w)
+            left = pair
+        w0 = w
+    return out
+
+
 def doc_terms(docs: DataFrame, domain: str = "lang", text: str = "text") -> DataFrame:
-    """(doc_id, domain, term), a term once a document.  The outer form keeps the optimizer from tokenising twice for a filter on the array's size."""
-    return docs.where(F.col(text).isNotNull() & F.col(domain).isNotNull()).select("doc_id", F.col(domain).alias("domain"), F.explode_outer(T.token_set(text)).alias("term")).where("term is not null")
+    """(doc_id, domain, term), a term once a document: tokens and phrases, not yet held against valid_phrase."""
+    def terms(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [text_terms(t) for t in part.column(2).to_pylist()]
+                at = pa.array([k for k, s in enumerate(sets) for _ in range(len(s))], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array([t for s in sets for t in s], pa.string())], names=["doc_id", "domain", "term"])
+
+    d = docs.where(F.col(text).isNotNull() & F.col(domain).isNotNull()).select("doc_id", F.col(domain).alias("domain"), F.lower(text).alias("low"))
+    return d.mapInArrow(terms, "doc_id long, domain string, term string")
 
 
-def term_counts(terms: DataFrame) -> DataFrame:
-    """(domain, term, c): documents of the domain with the term."""
-    return terms.groupBy("domain", "term").agg(F.count("*").alias("c"))
+def frequent(docs: DataFrame, p: config.Mining = config.Mining()) -> DataFrame:
+    """(term, total, by) of the valid terms in min_df documents or more; ``by`` has (domain, c) of every domain (a class label, so there are few), 0 where absent."""
+    domains = sorted(r[0] for r in docs.where("text is not null and lang is not null").select("lang").distinct().collect())
+    c = [F.count_if(F.col("domain") == d).alias(f"c{i}") for i, d in enumerate(domains)]
+    g = doc_terms(docs).groupBy("term").agg(F.count("*").alias("total"), *c)
+    by = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(f"c{i}").alias("c")) for i, d in enumerate(domains)])
+    # One condition, or the optimizer would hold every occurrence of a term against the word lists before it is counted.
+    return g.where(F.when(F.col("total") >= p.min_df, T.valid_phrase("term", True)).otherwise(F.lit(False))).select("term", "total", by.alias("by"))
 
 
-def dense(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Every vocabulary term for every domain, absent ones with 0 (a domain is a class label, so there are few)."""
-    domains = counts.select("domain").distinct()
-    grid = vocab.join(domains, how="cross")
-    return grid.join(counts, ["domain", "term"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+def counted(docs: DataFrame) -> DataFrame:
+    """The one row with n_docs."""
+    return docs.where("text is not null and lang is not null").agg(F.count("*").alias("n_docs"))
 
 
 def log_odds(grid: DataFrame, p: config.Mining = config.Mining()) -> DataFrame:
@@ -45,16 +91,16 @@ def log_odds(grid: DataFrame, p: config.Mining = config.Mining()) -> DataFrame:
 
 
 def mined(docs: DataFrame, p: config.Mining = config.Mining()) -> DataFrame:
-    terms = doc_terms(docs)
-    counts = term_counts(terms)
-    n = docs.where("text is not null and lang is not null").agg(F.count("*").alias("n_docs"))
-    return log_odds(dense(counts, vocabulary(counts, n, p)), p)
+    """The statistics of every term of the vocabulary (neither too rare nor too frequent) for every domain."""
+    vocab = frequent(docs, p).join(F.broadcast(counted(docs)), F.col("total") <= F.floor(F.col("n_docs") * p.max_df))
+    return log_odds(vocab.select("term", "total", F.inline("by")), p)
 
 
-def vocabulary(counts: DataFrame, n: DataFrame, p: config.Mining = config.Mining()) -> DataFrame:
-    """(term, total) of the terms neither too rare nor too frequent; ``n`` is the one row with n_docs."""
-    total = counts.groupBy("term").agg(F.sum("c").alias("total")).where(F.col("total") >= p.min_df)
-    return total.join(F.broadcast(n), F.col("total") <= F.floor(F.col("n_docs") * p.max_df)).select("term", "total")
+def style(stats: DataFrame, n: int) -> DataFrame:
+    """A domain's n style terms, the longest phrases first, then by z."""
+    g = stats.where(kind_of("term") == "style").withColumn("words", T.ngram_len("term"))
+    w = Window.partitionBy("domain").orderBy(F.desc("words"), F.desc("z"), "term")
+    return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).drop("words")
 
 
 def top_by(df: DataFrame, score: str, n: int, group: str = "domain", tie: str = "term") -> DataFrame:

@@ -127,9 +127,7 @@ def mine_combined_topk(spark, d):
 @query
 def mine_vocab_removed(spark, d):
     c = docs(spark, d)
-    total = mining.term_counts(mining.doc_terms(c)).groupBy("term").agg(F.sum("c").alias("total")).where(F.col("total") >= P.min_df)
-    n = c.agg(F.count("*").alias("n_docs"))
-    return total.join(F.broadcast(n), F.col("total") > F.floor(F.col("n_docs") * P.max_df)).select("term", "total")
+    return mining.frequent(c, P).join(F.broadcast(mining.counted(c)), F.col("total") > F.floor(F.col("n_docs") * P.max_df)).select("term", "total")
 
 
 @query
@@ -163,7 +161,7 @@ def _trigrams(spark, d):
 
 
 def _style(spark, d):
-    return mining.top_by(mining.mined(docs(spark, d), P).select("domain", "term", r6("z").alias("z")), "z", 200)
+    return mining.style(mining.mined(docs(spark, d), P).select("domain", "term", r6("z").alias("z")), 200)
 
 
 @query
@@ -251,14 +249,15 @@ def pair_rouge_l(spark, d):
 def _evidence(spark, d):
     lex = mining.mined(docs(spark, d), P).where("domain = 'en' and z > 0").select("term", r6("z").alias("z"))
     p = scoring.turn_pairs(tab(spark, d, "conversations"))
-    terms = p.select("conv_id", "turn", F.explode_outer(T.token_set("candidate")).alias("term"))
-    return p, terms.join(lex, "term")
+    toks = p.select("conv_id", "turn", T.tokens("candidate").alias("toks"))
+    terms = toks.select("conv_id", "turn", F.explode_outer(T.ngram_set("toks")).alias("term"))
+    return p, terms.join(lex, "term").withColumn("n", T.ngram_len("term"))
 
 
 @query
 def lex_evidence(spark, d):
     p, hit = _evidence(spark, d)
-    e = hit.groupBy("conv_id", "turn").agg(r6(scoring.evidence_score(F.col("z"), F.lit(1))).alias("evidence"), F.count("*").alias("hits"))
+    e = hit.groupBy("conv_id", "turn").agg(r6(scoring.evidence_score(F.col("z"), F.col("n"))).alias("evidence"), F.count("*").alias("hits"))
     return p.select("conv_id", "turn").join(e, ["conv_id", "turn"], "left").na.fill(0)
 
 
@@ -266,7 +265,7 @@ def lex_evidence(spark, d):
 def rerank_best(spark, d):
     """Of a conversation's candidates the one of highest reward; below the floor none counts."""
     p, hit = _evidence(spark, d)
-    e = hit.groupBy("conv_id", "turn").agg(scoring.evidence_score(F.col("z"), F.lit(1)).alias("ev"))
+    e = hit.groupBy("conv_id", "turn").agg(scoring.evidence_score(F.col("z"), F.col("n")).alias("ev"))
     sem = r6(T.jaccard(T.token_set("source"), T.token_set("candidate")))
     s = p.join(e, ["conv_id", "turn"], "left").select("conv_id", "turn", sem.alias("semantic"), r6(F.coalesce("ev", F.lit(0.0))).alias("evidence"))
     total = r6(scoring.reward(F.lit(0.5), F.col("evidence"), F.col("semantic"), F.col("semantic"), F.lit(0.0), config.Reward(semantic_floor=0.05)))

@@ -40,3 +40,43 @@ def test_every_trigram_is_term_and_candidate(spark, tmp_path):
         scores = sorted((-len(x & set(b.split())) / len(x | set(b.split())), b) for b in terms if b != a)
         want |= {(a, b, round(-s, 6), k) for k, (s, b) in enumerate([r for r in scores if r[0] <= -0.2][:5], 1)}
     assert set(map(tuple, run(spark, tmp_path, "analog_jaccard_topk"))) == want
+
+
+def corpus(spark, d):
+    """Twelve documents of a and twelve of b, with a phrase of its own each."""
+    texts = [("en", f"sparse graph laplacian with band gap w{i} x(y)") for i in range(12)] + [("fr", f"propose  sparse matrix, band  gap graph and laplacian w{i}") for i in range(12)] + [("en", None), ("fr", f"other words here for the run-1 debug run")]
+    texts += [("de", f"filler number{i}") for i in range(20)]
+    write(spark, d, "documents", [(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    return texts
+
+
+def test_phrases_are_mined_and_filtered(spark, tmp_path):
+    corpus(spark, tmp_path)
+    got = {(r.domain, r.term): r.c for r in run(spark, tmp_path, "mine_ctfidf")}
+    assert got["en", "sparse graph laplacian"] == got["en", "graph laplacian"] == got["en", "band gap"] == got["fr", "sparse matrix"] == 12
+    assert ("fr", "band gap") not in got and ("fr", "graph laplacian") not in got and ("en", "laplacian with") not in got
+    assert not {"with", "and", "propose", "x"} & {t for _, t in got}
+
+
+def test_terms_of_a_text_are_its_tokens_and_adjacent_ngrams(spark):
+    from termforge.operators import mining
+    from termforge.functions import text as T
+    from pyspark.sql import functions as F
+
+    texts = ["se(3)-net k-space b-c (d) e", "été la réaction  de x y z", "use a b using c d e", "", "123", "a\nb c model d", "a for b c(and)d e f"]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    phrases = mining.adjacent_ngrams(docs).select("doc_id", F.col("phrase").alias("term"))
+    want = docs.select("doc_id", F.explode(T.token_set("text")).alias("term")).union(phrases)
+    keep = T.valid_phrase("term", True)
+    assert set(mining.doc_terms(docs).select("doc_id", "term").where(keep).collect()) == set(want.where(keep).collect())
+    assert mining.doc_terms(docs).where("doc_id = 2").count() == len({"use", "a", "b", "using", "c", "d", "e", "a b", "c d", "d e", "c d e"})
+
+
+def test_evidence_weighs_phrases_by_length(spark, tmp_path):
+    corpus(spark, tmp_path)
+    write(spark, tmp_path, "conversations", [(1, 0, "user", "q"), (1, 1, "assistant", "graph laplacian"), (2, 0, "user", "q"), (2, 1, "assistant", "nothing")], "conv_id long, turn int, role string, text string")
+    z = {r.term: r.z for r in run(spark, tmp_path, "mine_dirichlet_logodds") if r.domain == "en"}
+    got = {r.conv_id: (r.evidence, r.hits) for r in run(spark, tmp_path, "lex_evidence")}
+    hits = [(t, w) for t, w in (("graph", 0.25), ("laplacian", 0.25), ("graph laplacian", 0.7)) if z.get(t, 0) > 0]
+    assert ("graph laplacian", 0.7) in hits
+    assert got[1] == (round(min(2.0, sum(min(6.0, z[t]) * w for t, w in hits)), 6), len(hits)) and got[2] == (0.0, 0)
