@@ -35,7 +35,8 @@ FALLBACK_REASONS = ("no_key", "timeout", "api_error", "filter_empty", "other")
 class Mining:
     min_df: int = 5
     max_df: float = 0.4
-    top_n: int = 20
+    top_n: int = 300
+    simple_top_n: int = 200
     prior_mass: float = 1000.0
     z_weight: float = 0.7
 

@@ -104,13 +104,14 @@ def mine_tfidf_mean(spark, d):
 @query
 def mine_simple_lexicon(spark, d):
     c = docs(spark, d)
-    return mining.simple_lexicon(mining.add_one_log_odds(mining.simple_tokens(c), 5), mining.mean_tfidf(c), 20)
+    return mining.simple_lexicon(mining.add_one_log_odds(mining.simple_tokens(c), 5), mining.mean_tfidf(c), P.simple_top_n)
 
 
 @query
 def mine_dirichlet_logodds(spark, d):
+    """Every term of the vocabulary for every domain; rank 1 is the highest z."""
     g = mining.mined(docs(spark, d), P).select("domain", "term", "c", "total", r6("delta").alias("delta"), r6("z").alias("z"))
-    return mining.top_by(g, "z", P.top_n)
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("z"), "term")))
 
 
 @query
@@ -161,7 +162,7 @@ def _trigrams(spark, d):
 
 
 def _style(spark, d):
-    return mining.style(mining.mined(docs(spark, d), P).select("domain", "term", r6("z").alias("z")), 200)
+    return mining.style(mining.mined(docs(spark, d), P).select("domain", "term", r6("z").alias("z")), P.top_n)
 
 
 @query

@@ -80,3 +80,15 @@ def test_evidence_weighs_phrases_by_length(spark, tmp_path):
     hits = [(t, w) for t, w in (("graph", 0.25), ("laplacian", 0.25), ("graph laplacian", 0.7)) if z.get(t, 0) > 0]
     assert ("graph laplacian", 0.7) in hits
     assert got[1] == (round(min(2.0, sum(min(6.0, z[t]) * w for t, w in hits)), 6), len(hits)) and got[2] == (0.0, 0)
+
+
+def test_statistics_and_lexicons_are_not_cut_at_twenty(spark, tmp_path):
+    words = [f"{a}{b}word" for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr"][:320]
+    rows = [(i, ". ".join(words), lang) for i, lang in enumerate(["en"] * 6 + ["fr"] * 3)] + [(100 + i, "filler", "de") for i in range(20)]
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    got = run(spark, tmp_path, "mine_dirichlet_logodds")
+    assert {(r.domain, r.term) for r in got} == {(d, w) for d in ("en", "fr", "de") for w in words}
+    assert sorted(r["rank"] for r in got if r.domain == "fr") == list(range(1, 321))
+    lexicon = [r.pos for r in run(spark, tmp_path, "mine_simple_lexicon") if r.domain == "en"]
+    assert sorted(lexicon) == list(range(1, 201))
+    assert {r.domain: r.n_style for r in run(spark, tmp_path, "lexicon_gate")} == {"en": 300, "fr": 300, "de": 300}
