@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, functions as F
 from . import textbytes as tb
 
 ORDER = 6
-SHARDS = 64
 _SLOT_BITS = 21
 U8 = np.uint64(8)
 
@@ -51,41 +50,70 @@ def grams(data: np.ndarray, offsets: np.ndarray, form: Callable, order: int = OR
     keep[1:] = ~(space[1:] & space[:-1])
     starts = offsets[:-1][np.diff(offsets) > 0]
     keep[starts] = ~space[starts]
-    row = np.repeat(np.arange(n), np.diff(offsets))
-    sizes = np.bincount(row[keep], minlength=n)
-    base = np.concatenate([[0], np.cumsum(sizes + order)])
-    out = np.full(int(base[-1]), 32, np.uint8)
-    row = row[keep]
-    at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + base[row] + order - 1
-    out[at] = body[keep]
-    key = np.zeros(len(out), np.uint64)
-    for back in range(order - 1, -1, -1):
-        key <<= U8
-        key[back:] |= out[: len(out) - back]
-    scored = np.ones(len(out), bool)
-    pads = (base[:-1, None] + np.arange(order - 1)).reshape(-1)
-    scored[pads] = False
+    chosen = np.flatnonzero(keep)
+    sizes = np.diff(np.searchsorted(chosen, offsets))
+    # In ``out`` a row has order - 1 spaces, its bytes and one more space; 8 - order spaces come before all.
+    at = np.repeat(np.arange(n) * order + 7, sizes)
+    at += np.arange(len(at))
+    total = len(at) + n * order
+    out = np.full((total + 23) // 8 * 8, 32, np.uint8)
+    out[at] = body[chosen]
+    key = np.empty(total, np.uint64)  # key[j]: the eight bytes from j on
+    for r in range(min(8, total)):
+        key[r::8] = out[r : r + (len(out) - r) // 8 * 8].view(">u8")[: -(-(total - r) // 8)]
+    if order < 8:
+        key &= np.uint64((1 << 8 * order) - 1)
+    scored = np.repeat(np.arange(n) * (order - 1), sizes + 1)
+    scored += np.arange(len(scored))
     return key[scored], np.concatenate([[0], np.cumsum(sizes + 1)])
 
 
+def _firsts(ascending: np.ndarray) -> np.ndarray:
+    new = np.empty(len(ascending), bool)
+    new[:1] = True
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    return new
+
+
+def unique(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, ascending (np.unique hashes, which takes five times as long here)."""
+    keys = np.sort(keys)
+    return keys[_firsts(keys)]
+
+
 def distinct(parts: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(_firsts(keys))
+    return keys[at], np.diff(at, append=len(keys))
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+
+
+def shards_for(n_bytes: int) -> int:
+    """A power of two that grows with the text: 64 up to 256 GB, then one for each 4 GB, to 4096."""
+    return min(4096, max(64, 1 << max(0, (n_bytes >> 32).bit_length())))
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     two = keys >> U8 & np.uint64(0xFFFF)
-    return (two * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SHARDS.bit_length() + 1)).astype(np.int64)
+    return (two * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - shards.bit_length() + 1)).astype(np.int64)
 
 
-def split(keys: np.ndarray, *more: np.ndarray):
+def split(shards: int, keys: np.ndarray, *more: np.ndarray):
     """(shard, keys, ...) of the shards that have some."""
-    s = shard_of(keys)
+    s = shard_of(keys, shards)
     order = np.argsort(s, kind="stable")
-    cut = np.searchsorted(s[order], np.arange(SHARDS + 1))
-    for k in range(SHARDS):
-        if cut[k] < cut[k + 1]:
-            at = order[cut[k] : cut[k + 1]]
-            yield k, keys[at], *[x[at] for x in more]
+    cut = np.searchsorted(s[order], np.arange(shards + 1))
+    for k in np.flatnonzero(np.diff(cut)):
+        at = order[cut[k] : cut[k + 1]]
+        yield int(k), keys[at], *[x[at] for x in more]
 
 
 def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,11 +122,11 @@ def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     c = np.concatenate(counts)
     order = np.argsort(k, kind="stable")
     k = k[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    first = np.flatnonzero(_firsts(k))
     return k[first], np.add.reduceat(c[order], first, axis=0)
 
 
-def count_grams(docs: DataFrame, classes: int, form: Callable, order: int = ORDER) -> DataFrame:
+def count_grams(docs: DataFrame, classes: int, form: Callable, shards: int, order: int = ORDER) -> DataFrame:
     """(shard, keys, counts) of ``docs`` (text, cls): counts of each class, added up by task and shard."""
 
     def run(batches):
@@ -111,7 +139,7 @@ def count_grams(docs: DataFrame, classes: int, form: Callable, order: int = ORDE
                 of = np.repeat(cls[a:b], np.diff(first))
                 for c in range(classes):
                     if len(own := key[of == c]):
-                        u, m = np.unique(own, return_counts=True)
+                        u, m = counted(own)
                         ks.append(u)
                         cs.append(np.eye(classes, dtype=np.int64)[c] * m[:, None])
                 if len(ks) > 24:
@@ -119,7 +147,7 @@ def count_grams(docs: DataFrame, classes: int, form: Callable, order: int = ORDE
                     ks, cs = [k], [c]
             if ks:
                 k, c = add_up(ks, cs)
-                rows = [(s, x.tobytes(), y.tobytes()) for s, x, y in split(k, c)]
+                rows = [(s, x.tobytes(), y.tobytes()) for s, x, y in split(shards, k, c)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])
 
     part = docs.select("text", "cls").mapInArrow(run, "shard long, keys binary, counts binary")
@@ -142,19 +170,28 @@ def count_grams(docs: DataFrame, classes: int, form: Callable, order: int = ORDE
 
 
 def short_counts(model: DataFrame) -> np.ndarray:
-    """256 x 256 numbers of distinct bytes seen before each pair of bytes."""
+    """256 x 256 numbers of distinct bytes seen before each pair of bytes, added up in 16 segments."""
 
     def run(batches):
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for raw in batch.column("keys").to_pylist():
-                three = np.unique(np.frombuffer(raw, np.uint64) & np.uint64(0xFFFFFF))
+                three = unique(np.frombuffer(raw, np.uint64) & np.uint64(0xFFFFFF))
                 total += np.bincount(three & np.uint64(0xFFFF), minlength=1 << 16)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["t"])
+        parts = total.reshape(16, -1)
+        own = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([parts[i].tobytes() for i in own], pa.binary())], names=["seg", "t"])
 
-    out = np.zeros(1 << 16, np.int64)
-    for row in model.select("keys").repartition(8).mapInArrow(run, "t binary").toLocalIterator():
-        out += np.frombuffer(bytes(row["t"]), np.int64)
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for seg, raw in zip(batch.column("seg").to_pylist(), batch.column("t").to_pylist()):
+                held[seg] = held.get(seg, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["seg", "t"])
+
+    out = np.zeros((16, 1 << 12), np.int64)
+    for row in model.select("keys").mapInArrow(run, "seg long, t binary").repartition("seg").mapInArrow(add, "seg long, t binary").collect():
+        out[row["seg"]] = np.frombuffer(bytes(row["t"]), np.int64)
     return out.reshape(256, 256)
 
 
@@ -193,12 +230,13 @@ class Level:
         return np.where(known, (own + self.mass[at] * lower) / total, lower)
 
 
-def lower_levels(keys: np.ndarray, order: int) -> list[Level]:
-    """Levels of order 3 to order - 1 by numbers of distinct bytes before a gram."""
+def lower_levels(keys: np.ndarray, order: int, least: int = 3) -> list[Level]:
+    """Levels of order ``least`` to order - 1 by numbers of distinct bytes before a gram."""
     out, above = [], keys
     for k in range(order - 1, 2, -1):
-        below, count = np.unique(above & np.uint64((1 << 8 * k) - 1), return_counts=True)
-        out.append(Level(below, count))
+        below, count = counted(above & np.uint64((1 << 8 * k) - 1))
+        if k >= least:
+            out.append(Level(below, count))
         above = below
     return out[::-1]
 
@@ -252,15 +290,28 @@ def _unsqueeze(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
-def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, classes: int, form: Callable, *, order: int = ORDER, block_bytes: int = 8 << 20) -> DataFrame:
+def _sums(values: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row: the sum of its values, and the largest mean of ``window`` values in a row (of all, if fewer)."""
+    upto = np.concatenate([[0.0], np.cumsum(values)])
+    n = np.diff(first)
+    ends = np.arange(1, len(values) + 1)
+    begins = np.maximum(ends - window, np.repeat(first[:-1], n))
+    full = (ends - begins >= np.minimum(window, np.repeat(n, n)))
+    means = np.where(full, (upto[ends] - upto[begins]) / (ends - begins), -np.inf)
+    return np.add.reduceat(values, first[:-1]), np.maximum.reduceat(means, first[:-1])
+
+
+def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, classes: int, form: Callable, shards: int, n_bytes: int, *, order: int = ORDER, block_bytes: int = 8 << 20, window: int = 16) -> DataFrame:
     """The rows of ``docs`` with total (sum of the gram values), n_grams and peak added; text is dropped.
 
+    ``peak`` is the largest mean value of ``window`` grams in a row.
     ``evaluate(keys, counts, wanted)`` gives the values of the wanted grams from
-    a shard's counts.  ``docs`` has a column text.
+    a shard's counts.  ``docs`` has a column text of ``n_bytes`` bytes in all;
+    ``shards`` is that of the model.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    n_blocks = max(1, -(-size // block_bytes))
-    n_salts = max(1, -(-n_blocks // 256))
+    n_blocks = max(1, -(-n_bytes // block_bytes))
+    # The more shards, the fewer of a block's grams are in one, so the more blocks meet it together.
+    n_salts = max(1, -(-n_blocks // (4 * shards)))
     others = [c for c in docs.columns if c != "text"]
     # Block by a hash of the whole row: copies of a text have other ids and spread.
     dealt = docs.select(F.pmod(F.xxhash64(*others, "text"), F.lit(n_blocks)).cast("long").alias("block"), *others, "text")
@@ -295,55 +346,49 @@ def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, class
         for a, b in tb.row_chunks(offsets):
             yield a, b, *grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], form, order)
 
-    def wanted_by(table: pa.Table) -> np.ndarray:
+    def need(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
         kept: list[np.ndarray] = []
         for rows in unpacked(table):
-            kept += [np.unique(k) for _, _, k, _ in chunks(rows)]
+            kept += [unique(k) for _, _, k, _ in chunks(rows)]
             if len(kept) > 8:
                 kept = [distinct(kept)]
-        return distinct(kept)
-
-    def need(table: pa.Table) -> pa.Table:
-        block = table.column("block")[0].as_py()
-        rows = [(s, block % n_salts, block, _squeeze(k)) for s, k in split(wanted_by(table))]
+        rows = [(s, block % n_salts, block, _squeeze(k)) for s, k in split(shards, distinct(kept))]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["shard", "salt", "block", "keys"])
 
     needed = packed.groupBy("block").applyInArrow(need, "shard long, salt long, block long, keys binary")
-    counted = model.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long"))).alias("salt"), "keys", "counts")
+    counts = model.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_salts - 1).cast("long"))).alias("salt"), "keys", "counts")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows:
             keys = np.frombuffer(right.column("keys")[0].as_py(), np.uint64)
-            counts = np.frombuffer(right.column("counts")[0].as_py(), np.int64).reshape(-1, classes)
+            own = np.frombuffer(right.column("counts")[0].as_py(), np.int64).reshape(-1, classes)
         else:
-            keys, counts = np.zeros(0, np.uint64), np.zeros((0, classes), np.int64)
+            keys, own = np.zeros(0, np.uint64), np.zeros((0, classes), np.int64)
         blocks = left.column("block").to_pylist() if left.num_rows else []
         wanted = [_unsqueeze(k) for k in left.column("keys").to_pylist()] if blocks else []
         union = distinct(wanted)
-        values = evaluate(keys, counts, union).astype(np.float32) if len(union) else np.zeros(0, np.float32)
+        values = evaluate(keys, own, union).astype(np.float32) if len(union) else np.zeros(0, np.float32)
         back = [values[np.searchsorted(union, w)].tobytes() for w in wanted]
-        shard = left.column("shard").to_pylist() if blocks else []
-        return pa.table([pa.array(blocks, pa.int64()), pa.array(shard, pa.int64()), pa.array(back, pa.binary())], names=["block", "shard", "values"])
+        return pa.table([pa.array(blocks, pa.int64()), left.column("shard").cast(pa.int64()) if blocks else pa.array([], pa.int64()), left.column("keys").cast(pa.binary()) if blocks else pa.array([], pa.binary()), pa.array(back, pa.binary())], names=["block", "shard", "keys", "values"])
 
-    valued = needed.groupBy("shard", "salt").cogroup(counted.groupBy("shard", "salt")).applyInArrow(meet, "block long, shard long, values binary")
+    valued = needed.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(meet, "block long, shard long, keys binary, values binary")
 
     fields = {c: docs.schema[c].dataType.simpleString() for c in others}
     outs = [*others, "total", "n_grams", "peak"]
 
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_shard = dict(zip(right.column("shard").to_pylist(), right.column("values").to_pylist()))
-        parts = [(k, np.frombuffer(by_shard[s], np.float32)) for s, k in split(wanted_by(left))] if left.num_rows else []
         done = []
-        if parts:
-            look = _Lookup(np.concatenate([k for k, _ in parts]), np.concatenate([v for _, v in parts]))
+        if left.num_rows:
+            # The block's grams come back with their values, so the text is walked once.
+            keys = np.concatenate([_unsqueeze(k) for k in right.column("keys").to_pylist()])
+            look = _Lookup(keys, np.concatenate([np.frombuffer(v, np.float32) for v in right.column("values").to_pylist()]))
             for rows in unpacked(left):
                 n = rows.num_rows
                 sums, counts, peaks = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
                 for a, b, k, first in chunks(rows):
-                    v = look(k).astype(np.float64)
-                    sums[a:b] = np.add.reduceat(v, first[:-1])
+                    sums[a:b], peaks[a:b] = _sums(look(k).astype(np.float64), first, window)
                     counts[a:b] = np.diff(first)
-                    peaks[a:b] = np.maximum.reduceat(v, first[:-1])
                 done.append(pa.table([*[rows.column(c) for c in others], pa.array(sums), pa.array(counts), pa.array(peaks)], names=outs))
         return pa.concat_tables(done)
 

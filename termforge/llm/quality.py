@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .gram_scores import ORDER, Level, count_grams, low_probability, lower_levels, plain, score_documents, short_counts
+from .gram_scores import ORDER, Level, count_grams, low_probability, lower_levels, plain, score_documents, shards_for, short_counts, text_bytes
 from .storage import Scratch
 from .toxicity import _with_labels, fold_of
 
@@ -44,11 +44,13 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     scratch = Scratch(docs.sparkSession)
     marks = scratch.save(trusted.select(F.col(doc_id).alias("doc_id")).where("doc_id is not null").distinct().withColumn("fold", fold_of("doc_id")))
-    model = scratch.save(count_grams(_with_labels(d, marks.where("fold > 0")).select("text", F.lit(0).alias("cls")), 1, plain))
+    n_bytes = text_bytes(d)
+    shards = shards_for(n_bytes)
+    model = scratch.save(count_grams(_with_labels(d, marks.where("fold > 0")).select("text", F.lit(0).alias("cls")), 1, plain, shards))
     if model.isEmpty():
         return d.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     short = short_counts(model)
-    scored = scratch.save(score_documents(d, model, log_probability(short), 1, plain)).withColumn("perplexity", F.exp(-F.col("total") / F.col("n_grams")))
+    scored = scratch.save(score_documents(d, model, log_probability(short), 1, plain, shards, n_bytes)).withColumn("perplexity", F.exp(-F.col("total") / F.col("n_grams")))
     held = _with_labels(scored, marks.where("fold = 0"))
     limit = (slack * F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))).alias("own")
     by_lang = held.where("lang is not null").groupBy(F.col("lang").alias("l")).agg(limit, F.count("*").alias("n")).where(F.col("n") >= least).select("l", "own")

@@ -1,12 +1,12 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two byte models of order 6 over lower-cased words, one of toxic and one of
-ordinary training texts.  Both interpolate their own highest order with lower
-orders that they share, built from the distinct grams of both classes, so a rare
-expression that one class lacks falls back to the same counts in both.  A
-document's score compares its two log-likelihoods divided by its length; a
-logistic curve fitted on training rows outside the counts turns that into a
-probability.
+ordinary training texts.  Orders 4 to 6 are a class's own; they back off to
+orders 1 to 3 that both share, built from the distinct grams of both classes, so
+an expression that is rare in one class falls back to the same counts in both.
+A document's score compares the two log-likelihoods divided by length, over the
+whole text and over the 16 bytes in a row where they differ most; a logistic
+curve fitted on training rows outside the counts turns that into a probability.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .gram_scores import ORDER, Level, count_grams, low_probability, lower_levels, score_documents, short_counts, words_only
-from .storage import Scratch
+from .gram_scores import ORDER, Level, count_grams, low_probability, lower_levels, score_documents, shards_for, short_counts, text_bytes, words_only
+from .storage import Scratch, free_name
 
 #: Rows to fit the three numbers of the logistic curve on, at most.
 CALIBRATION_ROWS = 20_000
 #: Labels are broadcast up to this number of rows, else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: The highest order that both classes share.
+SHARED = 3
 
 
 def fold_of(doc_id: str | Column) -> Column:
@@ -32,12 +34,21 @@ def fold_of(doc_id: str | Column) -> Column:
 def log_ratio(short: np.ndarray, order: int = ORDER):
     """evaluate() for score_documents: log P(toxic) - log P(ordinary) of a gram's last byte."""
 
+    def last(wanted: np.ndarray, k: int) -> np.ndarray:
+        return wanted & np.uint64((1 << 8 * k) - 1)
+
     def evaluate(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        p = low_probability(wanted, short)
-        for k, level in enumerate(lower_levels(keys, order), 3):
-            p = level.blend(wanted & np.uint64((1 << 8 * k) - 1), p)
-        toxic, ordinary = (Level(keys, counts[:, c]).blend(wanted, p) for c in (1, 0))
-        return np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12))
+        shared = low_probability(wanted, short)
+        for k, level in enumerate(lower_levels(keys, order)[: SHARED - 2], 3):
+            shared = level.blend(last(wanted, k), shared)
+        logs = []
+        for c in (1, 0):
+            own = np.flatnonzero(counts[:, c])
+            p = shared
+            for k, level in enumerate(lower_levels(keys[own], order, SHARED + 1), SHARED + 1):
+                p = level.blend(last(wanted, k), p)
+            logs.append(np.log(np.maximum(Level(keys[own], counts[own, c]).blend(wanted, p), 1e-12)))
+        return logs[0] - logs[1]
 
     return evaluate
 
@@ -63,8 +74,7 @@ def _with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _features() -> list[Column]:
-    n = F.greatest(F.col("n_grams"), F.lit(1)).cast("double")
-    return [F.col("total") / n, F.col("total") / F.sqrt(n), F.greatest(F.lit(0.0), F.col("peak"))]
+    return [F.col("total") / F.greatest(F.col("n_grams"), F.lit(1)), F.col("peak")]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
@@ -88,16 +98,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
     if not 0 < share["t"] < share["n"]:
         p = float(share["t"]) / share["n"] if share["n"] else 0.0
         return d.select("doc_id", held, F.lit(p).alias("score"), F.lit(int(p >= 0.5)).alias("predicted"), F.lit(0.0).alias("log_ratio"))
-    model = scratch.save(count_grams(train, 2, words_only))
-    scored = scratch.save(score_documents(d, model, log_ratio(short_counts(model)), 2, words_only))
-    names = [f"f{i}" for i in range(3)]
+    n_bytes = text_bytes(d)
+    shards = shards_for(n_bytes)
+    model = scratch.save(count_grams(train, 2, words_only, shards))
+    scored = scratch.save(score_documents(d, model, log_ratio(short_counts(model)), 2, words_only, shards, n_bytes))
+    names = ["f0", "f1"]
     rows = _with_labels(scored, marks.where("fold = 4")).select("doc_id", "cls", *[c.alias(x) for c, x in zip(_features(), names)]).orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(CALIBRATION_ROWS).toPandas()
     x, y = rows[names].to_numpy(float), rows["cls"].to_numpy(float)
     if 0 < y.sum() < len(y):
         middle, wide = x.mean(0), x.std(0) + 1e-9
         w = fit_logistic((x - middle) / wide, y)
     else:
-        middle, wide, w = np.zeros(3), np.ones(3), np.array([0.0, 50.0, 0.0, 0.0])
+        middle, wide, w = np.zeros(2), np.ones(2), np.array([0.0, 50.0, 0.0])
     z = F.lit(float(w[0] - (w[1:] * middle / wide).sum()))
     for c, v, s in zip(_features(), w[1:], wide):
         z = z + F.lit(float(v / s)) * c
@@ -109,7 +121,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     """The documents that are not predicted toxic, with their own columns.
 
     Rows of one id are judged together: all go if one is toxic.  Rows with a
-    null id stay unless one of them is toxic.
+    null id stay unless one of them is toxic.  Other columns, whatever their
+    names, are kept as they are; an empty table gives no rows.
     """
-    bad = toxicity_scores(docs, labels, doc_id=doc_id, text=text).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("_bad")), "left_anti")
+    bad = toxicity_scores(docs, labels, doc_id=doc_id, text=text).where("predicted = 1").select(F.col("doc_id").alias(free := free_name(docs, "bad"))).distinct()
+    return docs.join(bad, docs[doc_id].eqNullSafe(F.col(free)), "left_anti")

@@ -2,11 +2,13 @@
 
 import math
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termforge.llm import components, decontamination, gram_scores, html_extraction, line_dedup, mixing, ngram_join, storage, textbytes, token_counts, topk_search, toxicity, url_filter
+from termforge.llm import components, decontamination, gram_scores, html_extraction, line_dedup, mixing, ngram_join, quality, storage, textbytes, token_counts, topk_search, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string"
 
@@ -116,14 +118,143 @@ def test_trie_counts_equal_plain_dynamic_programming():
 def test_gram_scores_sum_like_a_loop(spark):
     texts = ["hello world", None, "", "hello hello  again", "x" * 50]
     d = docs(spark, texts).select("doc_id", "text")
-    model = gram_scores.count_grams(d.select("text", F.lit(0).alias("cls")), 1, gram_scores.plain).cache()
-    got = {r["doc_id"]: (r["total"], r["n_grams"]) for r in gram_scores.score_documents(d, model, lambda k, c, w: (w & 0xFF).astype(float), 1, gram_scores.plain, block_bytes=16).collect()}
+    model = gram_scores.count_grams(d.select("text", F.lit(0).alias("cls")), 1, gram_scores.plain, 64).cache()
+    got = {r["doc_id"]: (r["total"], r["n_grams"]) for r in gram_scores.score_documents(d, model, lambda k, c, w: (w & 0xFF).astype(float), 1, gram_scores.plain, 64, gram_scores.text_bytes(d), block_bytes=16).collect()}
     for i, t in enumerate(texts):
         body = " ".join((t or "").split()).encode() + b" "
         body = body if (t or "").strip() else b" "
         assert got[i] == (pytest.approx(sum(body)), len(body))
 
 
+def byte_rows(texts):
+    """Each text's grams of six bytes, as plain bytes, oldest byte first."""
+    out = []
+    for t in texts:
+        body = b" " * 5 + (" ".join((t or "").split()).encode() + b" ")
+        out.append([body[i - 5 : i + 1] for i in range(5, len(body))])
+    return out
+
+
+def continuation(grams, k):
+    """{gram of k bytes: number of distinct bytes before it}, from distinct grams of six bytes."""
+    seen = {}
+    for g in set(grams):
+        seen.setdefault(g[-k:], set()).add(g[-k - 1 : -k])
+    return {g: len(b) for g, b in seen.items()}
+
+
+def blend(counts, g, lower):
+    d = gram_scores.discounts(np.array(list(counts.values())))
+    same = {x: c for x, c in counts.items() if x[:-1] == g[:-1]}
+    if not same:
+        return lower
+    cut = {x: d[min(c, 3) - 1] for x, c in same.items()}
+    return (same.get(g, 0) - cut.get(g, 0.0) + sum(cut.values()) * lower) / sum(same.values())
+
+
+def low(grams, g):
+    """Orders 1 and 2 from distinct grams of three bytes."""
+    pairs = continuation(grams, 2)
+    ones = {}
+    for p in pairs:
+        ones[p[-1:]] = ones.get(p[-1:], 0) + 1
+    mass = [(max(ones.get(bytes([x]), 0) - 0.5, 0) + 0.5 * len(ones) / 256) / sum(ones.values()) for x in range(256)]
+    one = mass[g[-1]] / sum(mass)
+    total = sum(c for p, c in pairs.items() if p[:1] == g[-2:-1])
+    if not total:
+        return one
+    kinds = sum(1 for p in pairs if p[:1] == g[-2:-1])
+    return (max(pairs.get(g[-2:], 0) - 0.75, 0) + 0.75 * kinds * one) / total
+
+
+def counts_of(grams):
+    out = {}
+    for g in grams:
+        out[g] = out.get(g, 0) + 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def small_corpus():
+    r = random.Random(5)
+    syllables = ["ba", "lo", "ti", "é", "re", "nu"]
+    return [" ".join("".join(r.choices(syllables, k=r.randrange(1, 4))) for _ in range(r.randrange(5, 25))) for _ in range(14)]
+
+
+def kernel_values(texts, classes, evaluate, wanted):
+    import pyarrow as pa
+
+    data, off = textbytes.string_bytes(pa.array(texts))
+    keys, first = gram_scores.grams(data, off, gram_scores.plain)
+    of = np.repeat(np.array(classes), np.diff(first))
+    ks, cs = [], []
+    for c in range(max(classes) + 1):
+        u, m = gram_scores.counted(keys[of == c])
+        ks.append(u)
+        cs.append(np.eye(max(classes) + 1, dtype=np.int64)[c] * m[:, None])
+    k, c = gram_scores.add_up(ks, cs)
+    three = gram_scores.unique(k & np.uint64(0xFFFFFF))
+    short = np.bincount(three & np.uint64(0xFFFF), minlength=1 << 16).reshape(256, 256)
+    key = np.array([int.from_bytes(g, "big") for g in wanted], np.uint64)
+    return evaluate(short)(k, c, key)
+
+
+def test_kneser_ney_equals_plain_loops(small_corpus):
+    rows = byte_rows(small_corpus[:10])
+    all_grams = [g for r in rows for g in r]
+    wanted = [g for r in byte_rows(small_corpus[10:]) for g in r][:120]
+    got = kernel_values(small_corpus[:10], [0] * 10, quality.log_probability, wanted)
+    for g, v in zip(wanted, got):
+        p = low(all_grams, g)
+        for k in (3, 4, 5):
+            p = blend(continuation(all_grams, k), g[-k:], p)
+        assert v == pytest.approx(math.log(max(blend(counts_of(all_grams), g, p), 1e-12)))
+
+
+def test_class_models_equal_plain_loops(small_corpus):
+    classes = [i % 2 for i in range(10)]
+    rows = byte_rows(small_corpus[:10])
+    own = [[g for r, c in zip(rows, classes) if c == k for g in r] for k in (0, 1)]
+    wanted = [g for r in byte_rows(small_corpus[10:]) for g in r][:120]
+    got = kernel_values(small_corpus[:10], classes, toxicity.log_ratio, wanted)
+    for g, v in zip(wanted, got):
+        shared = blend(continuation(own[0] + own[1], 3), g[-3:], low(own[0] + own[1], g))
+        logs = []
+        for grams in own:
+            p = shared
+            for k in (4, 5):
+                p = blend(continuation(grams, k), g[-k:], p)
+            logs.append(math.log(max(blend(counts_of(grams), g, p), 1e-12)))
+        assert v == pytest.approx(logs[1] - logs[0])
+
+
+def test_quality_thresholds_by_language(spark):
+    """Held-out trusted rows set a quantile for each language; one with few of them takes that of all."""
+    r = random.Random(2)
+    word = {"en": ["the", "cat", "sat", "on", "mat"], "fr": ["le", "chat", "est", "sur", "lit"], "xx": ["lo", "ri", "um", "ta"]}
+    rows = [(i, " ".join(r.choices(word[lang], k=30)), lang, "s") for i, lang in enumerate(["en"] * 200 + ["fr"] * 200 + ["xx"] * 10)]
+    rows += [(1000 + i, " ".join(f"q{r.randrange(10**6)}" for _ in range(30)), lang, "s") for i, lang in enumerate(["en", "fr", "xx"])]
+    rows += [(2000, None, "en", "s"), (2001, "", None, "s"), (None, "the cat", "en", "s"), (0, "the cat sat", "en", "s")]
+    d = spark.createDataFrame(rows, DOCS)
+    trusted = spark.createDataFrame([(i,) for i in range(410)], "doc_id long")
+    out = quality.quality_scores(d, trusted).collect()
+    assert len(out) == len(rows)
+    held = {i for i in range(410) if zlib.crc32(str(i).encode()) % 5 == 0}
+    by = {}
+    for x in out:
+        by.setdefault(x["doc_id"], []).append(x)
+    limit = {}
+    for lang in ("en", "fr", None):
+        p = sorted(x["perplexity"] for x in out if x["doc_id"] in held and (lang is None or x["lang"] == lang))
+        limit[lang] = 1.25 * p[math.ceil(0.99 * len(p)) - 1]
+    for x in out:
+        assert x["threshold"] == pytest.approx(limit["fr" if x["lang"] == "fr" else "en" if x["lang"] == "en" else None], rel=1e-6)
+    assert not any(by[i][0]["keep"] for i in (1000, 1001, 1002)) and all(by[i][0]["keep"] for i in (2000, 2001, None))
+    assert sum(x["keep"] for x in out if x["doc_id"] is not None and x["doc_id"] < 410) >= 0.97 * 411
+    assert quality.quality_scores(d, trusted.limit(0)).where("keep").count() == len(rows)
+    assert quality.quality_scores(d.limit(0), trusted).count() == 0
+
+
 def test_toxicity_learns_and_handles_no_labels(spark):
     bad = ["you awful zzgrub thing", "zzgrub again and more"]
     texts = [f"{bad[i % 2]} {' '.join(words(6, i))}" if i % 4 == 0 else " ".join(words(10, i)) for i in range(200)]
