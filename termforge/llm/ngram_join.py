@@ -10,21 +10,26 @@ one row of the matrix.
 Within a column the rows are first multiplied with one row of like size (the
 hub, the one with the fewest columns of its own), which joins a large group of copies by a number of products linear in its
 size.  Components of these links tell which products are still open: pairs in
-one column but different components, within the size and position bounds.  All
-candidates are verified by the overlap of their whole sets.
+one column but different components, within the size and position bounds.  Open
+pairs are few, as frequent columns come last: a row that differs from a group's
+hub has its own rare columns first, and what it shares with the group comes too
+late for the positional bound.  For all candidates the product is completed over
+their whole rows.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textbytes as tb
 from .components import connected_components
-from .storage import Scratch
+from .storage import Scratch, free_name
 
-_COUNTER_BITS, _SEGMENTS, _BIT_SPACE = 18, 64, 1 << 23
+_COUNTER_BITS, _SEGMENTS, _BIT_SPACE = 22, 64, 1 << 23
 _HOT_LEVEL = 16
 
 
@@ -64,34 +69,39 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 def _tokens(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The set in order of rarity: the level above the top 58 bits of the hash."""
-    return np.sort(levels[grams >> np.uint64(64 - _COUNTER_BITS)] << np.uint64(58) | grams >> np.uint64(6))
+    return np.sort(levels[grams >> np.uint64(64 - _COUNTER_BITS)].astype(np.uint64) << np.uint64(58) | grams >> np.uint64(6))
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
     """A row (doc_id, n, sig) of each document, and rows (seg, counts) of each task."""
 
     def run(batches):
-        total = np.zeros(1 << _COUNTER_BITS, np.int64)
+        size_of = 1 << _COUNTER_BITS
+        total = np.zeros(size_of, np.uint32)
         kind = None
+
+        def add(pend):
+            np.add(total, np.bincount(np.concatenate(pend) >> np.uint64(64 - _COUNTER_BITS), minlength=size_of).astype(np.uint32), out=total)
+
+        pend, held = [], 0
         for batch in batches:
             n = batch.num_rows
             kind = batch.column(0).type
             size, sig = np.zeros(n, np.int32), np.zeros(n, np.int64)
-            pend, held = [], 0
             for r, g in shingle_sets(batch.column(1), k):
                 size[r] = len(g)
                 if len(g):
                     sig[r] = signature(g)
                     pend.append(g)
                     held += len(g)
-                    if held > 1 << 18:
-                        total += np.bincount(np.concatenate(pend) >> np.uint64(64 - _COUNTER_BITS), minlength=1 << _COUNTER_BITS)
+                    if held > size_of:
+                        add(pend)
                         pend, held = [], 0
-            if pend:
-                total += np.bincount(np.concatenate(pend) >> np.uint64(64 - _COUNTER_BITS), minlength=1 << _COUNTER_BITS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sig), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "sig", "seg", "counts"])
+        if pend:
+            add(pend)
         if kind is not None and total.any():
-            parts = [x.astype(np.uint32).tobytes() for x in total.reshape(_SEGMENTS, -1)]
+            parts = [zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in total.reshape(_SEGMENTS, -1)]
             m = _SEGMENTS
             yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "sig", "seg", "counts"])
 
@@ -99,20 +109,23 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n int, sig long, seg int, counts binary")
 
 
-def _counters(rows: DataFrame) -> np.ndarray:
+def _column_levels(rows: DataFrame) -> np.ndarray:
+    """Rarity levels of all buckets: the tasks' counts are added up by segment, and one byte a bucket leaves them."""
+
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for seg, raw in zip(batch.column("seg").to_pylist(), batch.column("counts").to_pylist()):
-                part = np.frombuffer(raw, np.uint32).astype(np.int64)
+                planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1)
+                part = np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1).astype(np.int64)
                 sums[seg] = sums[seg] + part if seg in sums else part
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["seg", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_levels(x).astype(np.uint8).tobytes() for x in sums.values()], pa.binary())], names=["seg", "levels"])
 
-    got = rows.where("seg is not null").select("seg", "counts").repartition("seg").mapInArrow(add, "seg int, counts binary").collect()
-    out = np.zeros((_SEGMENTS, (1 << _COUNTER_BITS) // _SEGMENTS), np.int64)
+    got = rows.where("seg is not null").select("seg", "counts").repartition("seg").mapInArrow(add, "seg int, levels binary").collect()
+    out = np.zeros((_SEGMENTS, (1 << _COUNTER_BITS) // _SEGMENTS), np.uint8)
     for r in got:
-        out[r["seg"]] += np.frombuffer(bytes(r["counts"]), np.int64)
+        out[r["seg"]] = np.frombuffer(bytes(r["levels"]), np.uint8)
     return out.reshape(-1)
 
 
@@ -294,9 +307,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     described = scratch.save(_describe(d, k))
     rows = described.where("n is not null").select("doc_id", "n", "sig")
-    levels = spark.sparkContext.broadcast(_levels(_counters(described)))
+    levels = spark.sparkContext.broadcast(_column_levels(described))
 
-    salt = F.when(F.shiftrightunsigned("t", 58) >= _HOT_LEVEL, 1 + F.pmod("sig", F.lit(16))).otherwise(F.lit(0)).cast("int")
+    # Four levels are a doubling, so a part of a hot column keeps about one size.
+    level = F.shiftrightunsigned("t", 58)
+    salt = F.when(level >= _HOT_LEVEL, 1 + F.pmod("sig", F.call_function("shiftleft", F.lit(1).cast("long"), ((level - _HOT_LEVEL) / 4 + 2).cast("int")))).otherwise(F.lit(0)).cast("int")
     columns = scratch.save(_shared_columns(_postings(d, k, similarity, levels).withColumn("salt", salt)))
     scratch.release()
     # The hub of a column: of each size class the row with the least columns of its own, so that a
@@ -326,17 +341,16 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def side(p: str) -> DataFrame:
         return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component")])
 
-    fits = 100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")
+    # The first column that two similar rows share leaves room for the overlap in both.
+    fits = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n")))
     met = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits)
-    met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n").count()
-    rest = met.where(F.col("count") >= _least_shared(similarity, "x_n", "y_n")).select("a", "b")
+    rest = met.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
     seen = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"))
     for p, q in (("p_a", "p_b"), ("p_b", "p_a")):
         rest = rest.join(seen, (F.col("a") == F.col(p)) & (F.col("b") == F.col(q)), "left_anti")
     rest = scratch.save(rest)
     if not rest.isEmpty():
-        more = _verified(d, rest, k, similarity, scratch)
-        joined = links.unionByName(more)
+        joined = links.unionByName(_verified(d, rest, k, similarity, scratch))
         members = scratch.save(connected_components(joined, scratch))
 
     classes = rows.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
@@ -348,7 +362,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: int = 75) -> DataFrame:
-    """The documents whose id is the smallest of their component, with their own columns; rows with a null id stay."""
+    """The documents whose id is the smallest of their component, with their own columns.
+
+    Rows with a null id stay.  Rows that repeat an id stay or go together.  Other
+    columns, whatever their names, are kept as they are; an empty table gives no rows.
+    """
     ids = near_duplicates(docs, doc_id=doc_id, text=text, k=k, similarity=similarity)
-    later = ids.where("doc_id > component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, docs[doc_id] == F.col("_later"), "left_anti")
+    later = ids.where("doc_id > component_id").select(F.col("doc_id").alias(free := free_name(docs, "later"))).distinct()
+    return docs.join(later, docs[doc_id] == F.col(free), "left_anti")
