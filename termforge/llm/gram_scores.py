@@ -126,8 +126,28 @@ def add_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c[order], first, axis=0)
 
 
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Ascending keys as compressed differences, the low bytes of all first."""
+    step = np.diff(keys, prepend=np.zeros(1, np.uint64))
+    return zlib.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unsqueeze(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
+def _squeeze_counts(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(counts).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unsqueeze_counts(raw: bytes, classes: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(-1, classes)
+
+
 def count_grams(docs: DataFrame, classes: int, form: Callable, shards: int, order: int = ORDER) -> DataFrame:
-    """(shard, keys, counts) of ``docs`` (text, cls): counts of each class, added up by task and shard."""
+    """(shard, keys, counts) of ``docs`` (text, cls): counts of each class, added up by task and shard, squeezed."""
 
     def run(batches):
         for batch in batches:
@@ -147,7 +167,7 @@ def count_grams(docs: DataFrame, classes: int, form: Callable, shards: int, orde
                     ks, cs = [k], [c]
             if ks:
                 k, c = add_up(ks, cs)
-                rows = [(s, x.tobytes(), y.tobytes()) for s, x, y in split(shards, k, c)]
+                rows = [(s, _squeeze(x), _squeeze_counts(y)) for s, x, y in split(shards, k, c)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])
 
     part = docs.select("text", "cls").mapInArrow(run, "shard long, keys binary, counts binary")
@@ -157,12 +177,12 @@ def count_grams(docs: DataFrame, classes: int, form: Callable, shards: int, orde
         for batch in batches:
             for s, k, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 h = held.setdefault(s, [[], []])
-                h[0].append(np.frombuffer(k, np.uint64))
-                h[1].append(np.frombuffer(c, np.int64).reshape(-1, classes))
+                h[0].append(_unsqueeze(k))
+                h[1].append(_unsqueeze_counts(c, classes))
                 if len(h[0]) > 24:
                     k, c = add_up(*h)
                     h[:] = [[k], [c]]
-        rows = [(s, k.tobytes(), c.tobytes()) for s, h in held.items() for k, c in [add_up(*h)]]
+        rows = [(s, _squeeze(k), _squeeze_counts(c)) for s, h in held.items() for k, c in [add_up(*h)]]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], names=["shard", "keys", "counts"])
 
@@ -176,7 +196,7 @@ def short_counts(model: DataFrame) -> np.ndarray:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for raw in batch.column("keys").to_pylist():
-                three = unique(np.frombuffer(raw, np.uint64) & np.uint64(0xFFFFFF))
+                three = unique(_unsqueeze(raw) & np.uint64(0xFFFFFF))
                 total += np.bincount(three & np.uint64(0xFFFF), minlength=1 << 16)
         parts = total.reshape(16, -1)
         own = np.flatnonzero(parts.any(1))
@@ -279,17 +299,6 @@ class _Lookup:
         return out
 
 
-def _squeeze(keys: np.ndarray) -> bytes:
-    """Ascending keys as compressed differences, the low bytes of all first."""
-    step = np.diff(keys, prepend=np.zeros(1, np.uint64))
-    return zlib.compress(step.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _unsqueeze(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
 def _sums(values: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Per row: the sum of its values, and the largest mean of ``window`` values in a row (of all, if fewer)."""
     upto = np.concatenate([[0.0], np.cumsum(values)])
@@ -361,8 +370,8 @@ def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, class
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if right.num_rows:
-            keys = np.frombuffer(right.column("keys")[0].as_py(), np.uint64)
-            own = np.frombuffer(right.column("counts")[0].as_py(), np.int64).reshape(-1, classes)
+            keys = _unsqueeze(right.column("keys")[0].as_py())
+            own = _unsqueeze_counts(right.column("counts")[0].as_py(), classes)
         else:
             keys, own = np.zeros(0, np.uint64), np.zeros((0, classes), np.int64)
         blocks = left.column("block").to_pylist() if left.num_rows else []
