@@ -7,13 +7,15 @@ each (prefix filter), have lengths within t of each other (length filter), and
 meet at a first common token with enough tokens left (positional filter).  Such
 candidates are verified on their whole token sets.
 
-Rarity comes from counts of all prefix tokens in a table of fixed size: tokens
-in buckets far above the mean count as frequent and go last.  Only lines with a
-frequent token among their first ones need another prefix.
-
-A list of lines sharing a token is first compared with its earliest line alone,
-so a large group of like lines costs one comparison a line.  Lines that are
-still undecided are then compared with every earlier line of their lists.
+Rarity is exact: the first tokens by hash are counted by a shuffle of tokens
+alone, and those of more than ``HOT`` lines go last, by their counts.  Only lines
+with such a token among their first ones need another prefix.  A line that
+differs from a large group of like lines so has tokens of its own first, and
+what it shares with the group comes too late for the positional filter.
+
+A list of lines sharing a token is first compared with one line of each length
+class, so a large group of like lines costs one comparison a line.  Lines that
+are still undecided are then compared with all others of their lists.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .storage import Scratch
+from .storage import Scratch, free_name
 
-_BUCKETS = 1 << 16
-_MASK_WORDS = 1 << 14
+#: Lines that share a token, above which the token counts as frequent.
+HOT = 16
+#: Lines of one token that one task takes.
+_PART = 4096
+_BLANK = " \t\r\f\u000b"
+_MASK_WORDS = 1 << 15
 
 
 def _lines(text: Column) -> Column:
@@ -34,15 +40,15 @@ def _lines(text: Column) -> Column:
 def with_tokens(df: DataFrame, line: str, out: str, shingle: int = 5) -> DataFrame:
     """``line`` replaced by ``out``: distinct hashes of its word shingles, ascending.
 
-    Fewer words make one shingle, none make an empty array.  The words are a
-    column of their own, so that they are split once.
+    Fewer words make one shingle, none make an empty array.  The words' hashes
+    are a column of their own, so that they are made once.
     """
-    trimmed = F.btrim(F.lower(line), F.lit(" \t\r\f\u000b"))
+    trimmed = F.coalesce(F.btrim(F.lower(line), F.lit(_BLANK)), F.lit(""))
+    hashed = df.withColumn("_blank", trimmed == "").withColumn("_words", F.transform(F.split(trimmed, r"\s+"), lambda w: F.xxhash64(w))).drop(line)
     w = F.col("_words")
-    many = F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(shingle)]))
-    grams = F.when(F.size(w) >= shingle, many).when(F.get(w, F.lit(0)) == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.array_join(w, " "), F.size(w))))
-    split = df.withColumn("_words", F.split(F.coalesce(trimmed, F.lit("")), r"\s+")).drop(line)
-    return split.withColumn(out, F.sort_array(F.array_distinct(grams))).drop("_words")
+    many = F.transform(F.slice(w, F.lit(1), F.size(w) - (shingle - 1)), lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, shingle)]))
+    grams = F.when(F.col("_blank"), F.array().cast("array<bigint>")).when(F.size(w) >= shingle, many).otherwise(F.array(F.xxhash64(w, F.size(w))))
+    return hashed.withColumn(out, F.sort_array(F.array_distinct(grams))).drop("_words", "_blank")
 
 
 def _prefix_len(n: Column, num: int) -> Column:
@@ -50,25 +56,23 @@ def _prefix_len(n: Column, num: int) -> Column:
     return (n - F.ceil(n * num / 100.0 - 1e-9) + 1).cast("int")
 
 
-def _constant(values: list[int], kind: str) -> Column:
-    """An array literal; the optimizer folds the cast once."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
-
-
 def _bit_filter(keys: DataFrame, col: str) -> tuple[Column, Column]:
-    """A test of 2^20 bits that every key in ``keys`` passes, for use before a join: (values literal, hash)."""
+    """A test of 2^21 bits that every key in ``keys`` passes, for use before a join: (values literal, hash)."""
     h = F.pmod(F.xxhash64(col), F.lit(_MASK_WORDS * 64))
-    rows = keys.select(h.alias("h")).groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("h", F.lit(64)).cast("int"))).alias("b")).collect()
+    rows = keys.select(h.alias("h")).groupBy(F.expr("h div 64").cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("h", F.lit(64)).cast("int"))).alias("b")).toArrow()
     words = [0] * _MASK_WORDS
-    for r in rows:
-        words[r["w"]] = r["b"]
-    return _constant(words, "bigint"), h
+    for w, b in zip(rows.column("w").to_pylist(), rows.column("b").to_pylist()):
+        words[w] = b
+    return F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>"), h
 
 
 def _passes(mask: Column, h: Column) -> Column:
     return F.call_function("shiftright", F.get(mask, (h / 64).cast("int")), F.pmod(h, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
 
 
+_ID = ("k_doc", "k_part", "k_line")
+
+
 class _Lines:
     """The documents with a row key, and the token sets of wanted lines."""
 
@@ -77,120 +81,100 @@ class _Lines:
         own = docs.select(F.col(doc_id).alias("k_doc"), F.col(text).alias("k_text"))
         again = own.groupBy("k_doc").count().where("count > 1").limit(1).count()
         # Rows that share an id are told apart by their text.
-        self.part = F.shiftrightunsigned(F.xxhash64("k_text"), 33).cast("bigint") if again else F.lit(0).cast("bigint")
+        self.part = F.xxhash64("k_text") if again else F.lit(0).cast("bigint")
         self.rows = own.where("k_text is not null").withColumn("k_part", self.part)
 
     def all(self) -> DataFrame:
         return self.rows.select("k_doc", "k_part", F.posexplode(_lines(F.col("k_text"))).alias("k_line", "line"))
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
-        """(k_doc, k_part, k_line, tokens) of the wanted (k_doc, k_part, k_line)."""
-        lists = wanted.groupBy("k_doc", "k_part").agg(F.collect_set("k_line").alias("k_lines")).select(F.col("k_doc").alias("w_doc"), F.col("k_part").alias("w_part"), "k_lines")
+        """(k_doc, k_part, k_line, ord, tokens) of the wanted (k_doc, k_part, k_line, ord)."""
+        lists = wanted.groupBy("k_doc", "k_part").agg(F.collect_set(F.struct("k_line", "ord")).alias("k_lines")).select(F.col("k_doc").alias("w_doc"), F.col("k_part").alias("w_part"), "k_lines")
         mask, h = _bit_filter(wanted.select("k_doc"), "k_doc")
         some = self.rows.where(_passes(mask, h))
         met = some.join(lists, some["k_doc"].eqNullSafe(F.col("w_doc")) & (F.col("k_part") == F.col("w_part")))
         met = met.dropDuplicates(["k_doc", "k_part"]).withColumn("k_all", _lines(F.col("k_text")))
-        each = met.select("k_doc", "k_part", F.explode(F.transform("k_lines", lambda i: F.struct(i.alias("k_line"), F.get("k_all", i).alias("line")))).alias("x"))
-        return with_tokens(each.select("k_doc", "k_part", F.col("x.k_line").alias("k_line"), F.col("x.line").alias("line")), "line", "tokens", self.shingle)
-
-
-_ID = ("k_doc", "k_part", "k_line")
-
-
-def _as(df: DataFrame, prefix: str, *cols: str) -> DataFrame:
-    return df.select(*[F.col(c).alias(prefix + c) for c in cols])
-
-
-def _same(a: str, b: str) -> Column:
-    return F.col(a + "k_doc").eqNullSafe(F.col(b + "k_doc")) & (F.col(a + "k_part") == F.col(b + "k_part")) & (F.col(a + "k_line") == F.col(b + "k_line"))
-
-
-def _verified(pairs: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> DataFrame:
-    """The pairs (x, y) whose Jaccard similarity is num / 100 or more."""
-    ends = pairs.select(*[F.col("x_" + c).alias(c) for c in _ID]).unionByName(pairs.select(*[F.col("y_" + c).alias(c) for c in _ID])).distinct()
-    sets = scratch.save(lines.fetch(ends))
-    left, right = _as(sets, "l_", *_ID, "tokens"), _as(sets, "r_", *_ID, "tokens")
-    both = pairs.join(left, _same("x_", "l_")).join(right, _same("y_", "r_"))
-    shared = F.size(F.array_intersect("l_tokens", "r_tokens"))
-    union = F.size("l_tokens") + F.size("r_tokens") - shared
-    return scratch.save(both.where(100 * shared >= num * union).select(*pairs.columns))
-
-
-def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: int = 75, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, removed sets).
-
-    The first has each line with tokens: k_doc, k_part, k_line, skey (of its
-    token set) and first (whether the set occurs here first).  The second has
-    the skey of every set that is similar to a set with an earlier first line.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+        each = met.select("k_doc", "k_part", F.explode(F.transform("k_lines", lambda x: F.struct(x["k_line"].alias("k_line"), x["ord"].alias("ord"), F.get("k_all", x["k_line"]).alias("line")))).alias("x"))
+        return with_tokens(each.select("k_doc", "k_part", F.col("x.k_line").alias("k_line"), F.col("x.ord").alias("ord"), F.col("x.line").alias("line")), "line", "tokens", self.shingle)
+
+
+def _later(pairs: DataFrame, sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> DataFrame:
+    """ord of the later line of every pair (x, y) whose Jaccard similarity is num / 100 or more."""
+    ends = pairs.select(F.col("x").alias("e")).unionByName(pairs.select(F.col("y").alias("e"))).distinct()
+    tokens = scratch.save(lines.fetch(sets.join(ends, F.col("ord") == F.col("e")).select(*_ID, "ord")))
+    side = lambda p: tokens.select(F.col("ord").alias(p + "ord"), F.struct(*_ID).alias(p + "at"), F.col("tokens").alias(p + "t"))
+    both = pairs.join(side("l_"), F.col("x") == F.col("l_ord")).join(side("r_"), F.col("y") == F.col("r_ord"))
+    shared = F.size(F.array_intersect("l_t", "r_t"))
+    alike = both.where(100 * shared >= num * (F.size("l_t") + F.size("r_t") - shared))
+    out = scratch.save(alike.select(F.when(F.col("l_at") < F.col("r_at"), F.col("r_ord")).otherwise(F.col("l_ord")).alias("gone")).distinct())
+    scratch.discard(tokens)
+    return out
+
+
+def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> DataFrame:
+    """(ord, n, pre) of ``sets`` with the frequent tokens last; pre has the tokens and the parts of their lists."""
+    plain = lambda s: s.select("ord", "n", F.transform("pre", lambda t: F.struct(t.alias("t"), F.lit(0).alias("parts"))).alias("pre"))
+    hot = scratch.save(sets.select(F.explode("pre").alias("t")).groupBy("t").count().where(F.col("count") > HOT))
+    scratch.release()
+    if hot.isEmpty():
+        return plain(sets)
+    mask, _ = _bit_filter(hot.select("t"), "t")
+    warm = F.exists("pre", lambda t: _passes(mask, F.pmod(F.xxhash64(t), F.lit(_MASK_WORDS * 64))))
+    marked = scratch.save(sets.select(*_ID, "ord", "n", "pre", warm.alias("warm")))
+    each = lines.fetch(marked.where("warm").select(*_ID, "ord")).select("ord", F.explode("tokens").alias("t"))
+    seen = each.join(hot.select(F.col("t").alias("h"), "count"), F.col("t") == F.col("h"), "left").select("ord", F.struct(F.coalesce("count", F.lit(0).cast("bigint")).alias("c"), "t").alias("x"))
+    ranked = seen.groupBy("ord").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    pre = F.transform(F.slice("x", F.lit(1), _prefix_len(F.size("x"), num)), lambda s: F.struct(s["t"].alias("t"), F.floor(s["c"] / _PART).cast("int").alias("parts")))
+    return plain(marked.where("not warm")).unionByName(ranked.select("ord", F.size("x").alias("n"), pre.alias("pre")))
+
+
+def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: int = 75, scratch: Scratch | None = None) -> DataFrame:
+    """(k_doc, k_part, k_line) of every line with an earlier line of the same or a similar token set."""
+    scratch = scratch or Scratch(docs.sparkSession)
     lines = _Lines(docs, doc_id, text, shingle)
     # Blank lines are told by the text: a filter on the tokens would be pushed down and compute them twice.
-    heavy = with_tokens(lines.all().where(F.btrim("line", F.lit(" \t\r\f\u000b")) != ""), "line", "t", shingle)
+    heavy = with_tokens(lines.all().where(F.btrim("line", F.lit(_BLANK)) != ""), "line", "t", shingle)
     n = F.size("t")
-    table = scratch.save(heavy.select(*_ID, F.xxhash64("t", n).alias("skey"), n.alias("n"), F.slice("t", F.lit(1), _prefix_len(n, similarity)).alias("pre")))
-
-    sets = scratch.save(table.groupBy("skey").agg(F.min(F.struct(*_ID)).alias("at"), F.first("n").alias("n"), F.first("pre").alias("pre")).select("at.*", "skey", "n", "pre"))
-
-    # Rarity: prefix tokens counted in a table of fixed size.
-    bucket = lambda t: F.pmod(t, F.lit(_BUCKETS)).cast("int")
-    counts = sets.select(F.explode("pre").alias("t")).groupBy(bucket(F.col("t")).alias("b")).count().collect()
-    mean = sum(r["count"] for r in counts) / _BUCKETS
-    level = [0] * _BUCKETS
-    for r in counts:
-        over = r["count"] - mean
-        if over > 32 + 8 * mean**0.5:
-            level[r["b"]] = min(60, int(over / (32 + 8 * mean**0.5)).bit_length())
-    levels = _constant(level, "tinyint")
-    if any(level):
-        hot = F.exists("pre", lambda t: F.get(levels, bucket(t)) > 0)
-        again = sets.withColumn("hot", hot)
-        changed = scratch.save(lines.fetch(again.where("hot").select(*_ID)).withColumn("pre", F.transform(F.slice(F.array_sort(F.transform("tokens", lambda t: F.struct(F.get(levels, bucket(t)).alias("l"), t.alias("t")))), F.lit(1), _prefix_len(F.size("tokens"), similarity)), lambda s: s["t"])).drop("tokens"))
-        mine = again.where("hot").select(*[F.col(c).alias("a_" + c) for c in _ID], "skey", "n")
-        other = _as(changed, "b_", *_ID, "pre")
-        redone = mine.join(other, _same("a_", "b_")).select(*[F.col("a_" + c).alias(c) for c in _ID], "skey", "n", F.col("b_pre").alias("pre"))
-        sets_now = again.where(~F.col("hot")).select(*_ID, "skey", "n", "pre").unionByName(redone)
-    else:
-        sets_now = sets
-
-    posting = sets_now.select(*_ID, "n", F.posexplode("pre").alias("pos", "t"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("int")
-    salt = F.when(F.get(levels, bucket(F.col("t"))) > 2, 1 + F.pmod(F.xxhash64(*_ID), F.lit(16))).otherwise(F.lit(0)).cast("int")
-    posting = posting.withColumns({"band": band, "salt": salt}).repartition("t", "salt")
-    by_band = Window.partitionBy("t", "salt", "band").orderBy(*_ID)
-    by_token = Window.partitionBy("t", "salt")
-    listed = posting.withColumn("head", F.first(F.struct(*_ID)).over(by_band)).withColumn("size", F.count("*").over(by_token)).where("size > 1 or salt > 0")
-    lists = scratch.save(listed.select("t", "salt", "band", "n", "pos", *_ID, "head"))
-
-    # The heads of a hot token's parts meet the earliest of them.
-    tops = lists.where("salt > 0").select("t", "band", "head").distinct().withColumn("top", F.first("head").over(Window.partitionBy("t", "band").orderBy("head")))
-    heads = lists.select(*[F.col(c).alias("y_" + c) for c in _ID], *[F.col("head." + c).alias("x_" + c) for c in _ID])
-    heads = heads.unionByName(tops.select(*[F.col("head." + c).alias("y_" + c) for c in _ID], *[F.col("top." + c).alias("x_" + c) for c in _ID]))
-    heads = heads.where(~_same("x_", "y_")).distinct()
-    first_pairs = scratch.save(heads)
-    pair_cols = [f"x_{c}" for c in _ID] + [f"y_{c}" for c in _ID]
-    sure = _verified(first_pairs.select(*pair_cols), lines, similarity, scratch)
-    decided = sure.select(*[F.col("y_" + c).alias("d_" + c) for c in _ID]).distinct()
-
-    # The rest against every earlier line of their lists, but for pairs already compared.
-    y = _as(lists, "y_", "t", "n", "pos", *_ID)
-    y = y.join(decided, _same("y_", "d_"), "left_anti")
-    x = _as(lists, "x_", "t", "n", "pos", *_ID)
-    earlier = F.struct(*[F.col("x_" + c) for c in _ID]) < F.struct(*[F.col("y_" + c) for c in _ID])
-    fits = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * (F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))) >= similarity * (F.col("x_n") + F.col("y_n")))
-    rest = y.join(x, (F.col("x_t") == F.col("y_t")) & fits & earlier).select(*pair_cols).distinct()
-    seen = first_pairs.select(*[F.col(c).alias("s_" + c) for c in pair_cols])
-    rest = scratch.save(rest.join(seen, _same("x_", "s_x_") & _same("y_", "s_y_"), "left_anti"))
-    more = _verified(rest, lines, similarity, scratch) if not rest.isEmpty() else rest
-    gone = sure.select(*[F.col("y_" + c).alias("g_" + c) for c in _ID]).unionByName(more.select(*[F.col("y_" + c).alias("g_" + c) for c in _ID])).distinct()
-    where = _as(sets, "s_", *_ID, "skey")
-    removed = scratch.save(where.join(gone, _same("s_", "g_"), "left_semi").select(F.col("s_skey").alias("skey")))
-
-    at = sets.select(F.col("skey").alias("f_skey"), F.struct(*_ID).alias("f_at"))
-    here = F.struct(*_ID)
-    occurrences = table.select(*_ID, "skey").join(at, F.col("skey") == F.col("f_skey")).select(*_ID, "skey", here.eqNullSafe(F.col("f_at")).alias("first"))
-    return occurrences, removed
+    table = scratch.save(heavy.select(*_ID, F.monotonically_increasing_id().alias("ord"), F.xxhash64("t", n).alias("s1"), F.xxhash64(n, "t").alias("s2"), n.alias("n"), F.slice("t", F.lit(1), _prefix_len(n, similarity)).alias("pre")))
+    sets = scratch.save(table.groupBy("s1", "s2").agg(F.min(F.struct(*_ID, "ord")).alias("at"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("pre").alias("pre")).select("at.*", "s1", "s2", "m", "n", "pre"))
+    occurrences = scratch.save(table.select(*_ID, "s1", "s2"))
+    scratch.discard(table)
+
+    posting = _by_rarity(sets, lines, similarity, scratch).select("ord", "n", F.posexplode("pre").alias("pos", "x")).select("ord", "n", "pos", "x.*")
+    scratch.release()
+    # Two longs and two small numbers a row: the id of a line is looked up for the few that meet.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("bigint")
+    salt = F.when(F.col("parts") > 0, 1 + F.pmod(F.xxhash64("ord"), F.col("parts"))).otherwise(F.lit(0)).cast("bigint")
+    packed = posting.select("t", "ord", F.expr("cast(n as bigint) * 2147483648 + pos").alias("np"), salt.alias("salt"))
+    dealt = packed.repartition("t", "salt").select("t", "ord", F.expr("np div 2147483648").alias("n"), F.expr("np % 2147483648").alias("pos"), "salt").withColumn("band", band)
+    size = F.count("*").over(Window.partitionBy("t", "salt"))
+    head = F.min("ord").over(Window.partitionBy("t", "salt", "band"))
+    lists = scratch.save(dealt.withColumn("size", size).where("size > 1 or salt > 0").withColumn("head", head).drop("size"))
+    scratch.release()
+
+    heads = lists.select(F.col("head").alias("x"), F.col("ord").alias("y"))
+    # The heads of a frequent token's parts meet the first of them.
+    tops = lists.where("salt > 0").groupBy("t", "band").agg(F.min("head").alias("x")).select(F.col("t").alias("p_t"), F.col("band").alias("p_band"), "x")
+    parts = lists.where("salt > 0").select("t", "band", "head").distinct()
+    heads = heads.unionByName(parts.join(tops, (F.col("t") == F.col("p_t")) & (F.col("band") == F.col("p_band"))).select("x", F.col("head").alias("y")))
+    first_pairs = scratch.save(heads.where("x <> y").distinct())
+    decided = _later(first_pairs, sets, lines, similarity, scratch)
+
+    # Lines still undecided against all others of their lists, but for pairs already compared.
+    side = lambda p: lists.select(*[F.col(c).alias(p + c) for c in ("t", "ord", "n", "pos")])
+    y = side("y_").join(decided.select(F.col("gone").alias("d")), F.col("y_ord") == F.col("d"), "left_anti")
+    fits = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n")))
+    met = y.join(side("x_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_ord") != F.col("y_ord")) & fits)
+    rest = met.select(F.least("x_ord", "y_ord").alias("x"), F.greatest("x_ord", "y_ord").alias("y")).distinct()
+    seen = first_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = scratch.save(rest.join(seen, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_anti"))
+    gone = decided if rest.isEmpty() else decided.unionByName(_later(rest, sets, lines, similarity, scratch)).distinct()
+    scratch.discard(lists)
+
+    removed = sets.join(gone, F.col("ord") == F.col("gone"), "left").where("m > 1 or gone is not null")
+    removed = removed.select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), F.struct(*_ID).alias("at"), F.col("gone").isNotNull().alias("similar"))
+    met = occurrences.join(removed, (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")))
+    return met.where(F.col("similar") | ~F.struct(*_ID).eqNullSafe(F.col("at"))).select(*_ID)
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: int = 75) -> DataFrame:
@@ -204,21 +188,25 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     Null texts stay null with counts of 0.  Rows with equal id and text are
     taken as one document and end alike; rows with equal id and other texts are
     told apart.  Null ids sort first.  An empty table gives no rows.  Columns
-    named n_lines or n_removed in the input are replaced, others are kept.
+    named n_lines or n_removed in the input are replaced, others are kept,
+    whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    occurrences, removed = similar_lines(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity, scratch=scratch)
-    flags = removed.select(F.col("skey").alias("r_skey"), F.lit(True).alias("r"))
-    out = occurrences.join(flags, F.col("skey") == F.col("r_skey"), "left").where("not first or r")
-    lists = out.groupBy("k_doc", "k_part").agg(F.collect_set("k_line").alias("k_gone"))
+    base = docs.drop("n_lines", "n_removed")
+    doc, part, own, gone, each = (free_name(docs, c) for c in ("doc_key", "part_key", "part_own", "lines_gone", "lines_all"))
+    lists = similar_lines(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity, scratch=scratch)
+    lists = scratch.save(lists.groupBy(F.col("k_doc").alias(doc), F.col("k_part").alias(part)).agg(F.collect_set("k_line").alias(gone)))
+    scratch.release()
     again = docs.groupBy(doc_id).count().where("count > 1").limit(1).count()
-    part = F.shiftrightunsigned(F.xxhash64(text), 33).cast("bigint") if again else F.lit(0).cast("bigint")
-    base = docs.drop("n_lines", "n_removed").withColumn("_part", part)
-    met = base.join(lists, base[doc_id].eqNullSafe(F.col("k_doc")) & (F.col("_part") == F.col("k_part")), "left")
-    lines = _lines(F.col(text))
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("k_gone")), lambda i: F.get(lines, i))
-    new = F.when(F.col("k_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    n_removed = F.coalesce(F.size("k_gone"), F.lit(0)).cast("long")
-    cols = [new.alias(text) if c == text else F.col(c) for c in base.columns if c != "_part"]
-    return met.select(*cols, n_lines.alias("n_lines"), F.greatest(n_removed, F.lit(0)).cast("long").alias("n_removed"))
+    count = lambda lines: F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    # Documents that lose no line stay where they are.
+    mask, h = _bit_filter(lists.select(F.col(doc).alias("d")), "d")
+    h = F.pmod(F.xxhash64(doc_id), F.lit(_MASK_WORDS * 64))
+    whole = base.where(~_passes(mask, h)).select(*base.columns, count(_lines(F.col(text))), F.lit(0).cast("long").alias("n_removed"))
+    some = base.where(_passes(mask, h)).withColumn(own, F.xxhash64(text) if again else F.lit(0).cast("bigint"))
+    met = some.join(lists, some[doc_id].eqNullSafe(F.col(doc)) & (F.col(own) == F.col(part)), "left").withColumn(each, _lines(F.col(text)))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(each) - 1), gone), lambda i: F.get(each, i))
+    new = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    cols = [new.alias(text) if c == text else F.col(c) for c in base.columns]
+    cut = met.select(*cols, count(F.col(each)), F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+    return whole.unionByName(cut)

@@ -43,6 +43,30 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN nh USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+OP6 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT doc_id, pos, line, list_filter(regexp_split_to_array(lower(line), '[ \t\r\f\v]+'), lambda x: x <> '') AS w FROM l
+), s AS (
+  SELECT doc_id, pos, line, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS g FROM w
+), k AS (
+  SELECT *, CASE WHEN len(g) > 0 THEN row_number() OVER (PARTITION BY g ORDER BY doc_id, pos) ELSE 1 END AS nth FROM s
+), t AS (SELECT doc_id, pos, len(g) AS n, unnest(g) AS g FROM k WHERE nth = 1),
+alike AS (
+  SELECT DISTINCT doc_id, pos FROM (
+    SELECT a.doc_id, a.pos FROM t a JOIN t b ON a.g = b.g AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)
+    GROUP BY a.doc_id, a.pos, b.doc_id, b.pos, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*)))
+), bad AS (SELECT g FROM k JOIN alike USING (doc_id, pos)),
+gone AS (SELECT doc_id, pos, line, nth > 1 OR len(g) > 0 AND g IN (SELECT g FROM bad) AS gone FROM k),
+out AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed
+  FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, out.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN out USING (doc_id)
+"""
+
 OP7 = rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({_ASCII.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -99,4 +123,4 @@ SELECT p.page_id, p.host, p.path, best.rule,
 FROM p LEFT JOIN best ON best.page_id = p.page_id AND best.url = p.url
 """
 
-ORACLES = {"op3_topk_search": OP3, "op5_decontamination": OP5, "op7_ngram_join": OP7, "op8_url_filter": OP8}
+ORACLES = {"op3_topk_search": OP3, "op5_decontamination": OP5, "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op8_url_filter": OP8}
