@@ -31,6 +31,8 @@ from .storage import Scratch, free_name
 
 _COUNTER_BITS, _SEGMENTS, _BIT_SPACE = 22, 64, 1 << 23
 _HOT_LEVEL = 16
+#: Rows of a column, above which its products must keep the positional bound.
+_WIDE = 64
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -94,7 +96,7 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
                     sig[r] = signature(g)
                     pend.append(g)
                     held += len(g)
-                    if held > size_of:
+                    if held > 1 << 20:
                         add(pend)
                         pend, held = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sig), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "sig", "seg", "counts"])
@@ -335,16 +337,21 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # What is left: one column, two components, sizes and positions that still allow the overlap.
     comp = members.select(F.col("node").alias("c_sig"), "component")
     now = columns.select("t", "sig", "n", "pos").join(comp, F.col("sig") == F.col("c_sig"), "left").withColumn("component", F.coalesce("component", "sig")).drop("c_sig")
-    mixed = now.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select(F.col("t").alias("m_t"))
-    left = scratch.save(now.join(mixed, F.col("t") == F.col("m_t"), "left_semi"))
+    mixed = now.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("t").alias("m_t"), (F.col("m") > _WIDE).alias("wide"))
+    left = now.join(mixed, F.col("t") == F.col("m_t")).drop("m_t")
+    wides = left.groupBy(F.col("sig").alias("w_sig")).agg(F.count_if("wide").alias("wides"))
+    left = scratch.save(left.join(wides, F.col("sig") == F.col("w_sig")).drop("w_sig"))
 
     def side(p: str) -> DataFrame:
-        return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component")])
-
-    # The first column that two similar rows share leaves room for the overlap in both.
-    fits = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n")))
-    met = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits)
-    rest = met.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b")).distinct()
+        return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide", "wides")])
+
+    # The first column that two similar rows share leaves room for the overlap in both.  Columns of many rows only give
+    # products that keep this bound; of the others all are counted, and the wide ones that a row has are the most that is missing.
+    fits = 100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")
+    room = (100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n"))
+    met = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits & (~F.col("x_wide") | room))
+    met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n", F.least("x_wides", "y_wides").alias("wides")).agg(F.count_if(~F.col("x_wide")).alias("count"), F.max(room).alias("room"))
+    rest = met.where(F.col("room") & (F.col("count") + F.col("wides") >= _least_shared(similarity, "x_n", "y_n"))).select("a", "b")
     seen = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"))
     for p, q in (("p_a", "p_b"), ("p_b", "p_a")):
         rest = rest.join(seen, (F.col("a") == F.col(p)) & (F.col("b") == F.col(q)), "left_anti")
