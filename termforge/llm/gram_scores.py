@@ -379,9 +379,10 @@ def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, class
         union = distinct(wanted)
         values = evaluate(keys, own, union).astype(np.float32) if len(union) else np.zeros(0, np.float32)
         back = [values[np.searchsorted(union, w)].tobytes() for w in wanted]
-        return pa.table([pa.array(blocks, pa.int64()), left.column("shard").cast(pa.int64()) if blocks else pa.array([], pa.int64()), left.column("keys").cast(pa.binary()) if blocks else pa.array([], pa.binary()), pa.array(back, pa.binary())], names=["block", "shard", "keys", "values"])
+        shard = left.column("shard").to_pylist() if blocks else []
+        return pa.table([pa.array(blocks, pa.int64()), pa.array(shard, pa.int64()), pa.array(back, pa.binary())], names=["block", "shard", "values"])
 
-    valued = needed.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(meet, "block long, shard long, keys binary, values binary")
+    valued = needed.groupBy("shard", "salt").cogroup(counts.groupBy("shard", "salt")).applyInArrow(meet, "block long, shard long, values binary")
 
     fields = {c: docs.schema[c].dataType.simpleString() for c in others}
     outs = [*others, "total", "n_grams", "peak"]
@@ -389,13 +390,20 @@ def score_documents(docs: DataFrame, model: DataFrame, evaluate: Callable, class
     def total(left: pa.Table, right: pa.Table) -> pa.Table:
         done = []
         if left.num_rows:
-            # The block's grams come back with their values, so the text is walked once.
-            keys = np.concatenate([_unsqueeze(k) for k in right.column("keys").to_pylist()])
-            look = _Lookup(keys, np.concatenate([np.frombuffer(v, np.float32) for v in right.column("values").to_pylist()]))
-            for rows in unpacked(left):
+            # A block's grams (8 bytes for each of its bytes) stay in memory, so the text is walked once.
+            tables = [(rows, list(chunks(rows))) for rows in unpacked(left)]
+            kept: list[np.ndarray] = []
+            for _, parts in tables:
+                kept += [unique(k) for _, _, k, _ in parts]
+                if len(kept) > 8:
+                    kept = [distinct(kept)]
+            by_shard = dict(zip(right.column("shard").to_pylist(), right.column("values").to_pylist()))
+            own = [(k, np.frombuffer(by_shard[s], np.float32)) for s, k in split(shards, distinct(kept))]
+            look = _Lookup(np.concatenate([k for k, _ in own]), np.concatenate([v for _, v in own]))
+            for rows, parts in tables:
                 n = rows.num_rows
                 sums, counts, peaks = np.zeros(n), np.zeros(n, np.int64), np.zeros(n)
-                for a, b, k, first in chunks(rows):
+                for a, b, k, first in parts:
                     sums[a:b], peaks[a:b] = _sums(look(k).astype(np.float64), first, window)
                     counts[a:b] = np.diff(first)
                 done.append(pa.table([*[rows.column(c) for c in others], pa.array(sums), pa.array(counts), pa.array(peaks)], names=outs))
