@@ -85,7 +85,8 @@ class _Lines:
         self.rows = own.where("k_text is not null").withColumn("k_part", self.part)
 
     def all(self) -> DataFrame:
-        return self.rows.select("k_doc", "k_part", F.posexplode(_lines(F.col("k_text"))).alias("k_line", "line"))
+        # An outer explode: for an inner one the optimizer adds a filter that splits the text again.
+        return self.rows.select("k_doc", "k_part", F.posexplode_outer(_lines(F.col("k_text"))).alias("k_line", "line"))
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
         """(k_doc, k_part, k_line, ord, tokens) of the wanted (k_doc, k_part, k_line, ord)."""
@@ -94,7 +95,7 @@ class _Lines:
         some = self.rows.where(_passes(mask, h))
         met = some.join(lists, some["k_doc"].eqNullSafe(F.col("w_doc")) & (F.col("k_part") == F.col("w_part")))
         met = met.dropDuplicates(["k_doc", "k_part"]).withColumn("k_all", _lines(F.col("k_text")))
-        each = met.select("k_doc", "k_part", F.explode(F.transform("k_lines", lambda x: F.struct(x["k_line"].alias("k_line"), x["ord"].alias("ord"), F.get("k_all", x["k_line"]).alias("line")))).alias("x"))
+        each = met.select("k_doc", "k_part", F.explode_outer(F.transform("k_lines", lambda x: F.struct(x["k_line"].alias("k_line"), x["ord"].alias("ord"), F.get("k_all", x["k_line"]).alias("line")))).alias("x"))
         return with_tokens(each.select("k_doc", "k_part", F.col("x.k_line").alias("k_line"), F.col("x.ord").alias("ord"), F.col("x.line").alias("line")), "line", "tokens", self.shingle)
 
 
@@ -114,14 +115,14 @@ def _later(pairs: DataFrame, sets: DataFrame, lines: _Lines, num: int, scratch:
 def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> DataFrame:
     """(ord, n, pre) of ``sets`` with the frequent tokens last; pre has the tokens and the parts of their lists."""
     plain = lambda s: s.select("ord", "n", F.transform("pre", lambda t: F.struct(t.alias("t"), F.lit(0).alias("parts"))).alias("pre"))
-    hot = scratch.save(sets.select(F.explode("pre").alias("t")).groupBy("t").count().where(F.col("count") > HOT))
+    hot = scratch.save(sets.select(F.explode_outer("pre").alias("t")).groupBy("t").count().where(F.col("count") > HOT))
     scratch.release()
     if hot.isEmpty():
         return plain(sets)
     mask, _ = _bit_filter(hot.select("t"), "t")
     warm = F.exists("pre", lambda t: _passes(mask, F.pmod(F.xxhash64(t), F.lit(_MASK_WORDS * 64))))
     marked = scratch.save(sets.select(*_ID, "ord", "n", "pre", warm.alias("warm")))
-    each = lines.fetch(marked.where("warm").select(*_ID, "ord")).select("ord", F.explode("tokens").alias("t"))
+    each = lines.fetch(marked.where("warm").select(*_ID, "ord")).select("ord", F.explode_outer("tokens").alias("t")).where("t is not null")
     seen = each.join(hot.select(F.col("t").alias("h"), "count"), F.col("t") == F.col("h"), "left").select("ord", F.struct(F.coalesce("count", F.lit(0).cast("bigint")).alias("c"), "t").alias("x"))
     ranked = seen.groupBy("ord").agg(F.array_sort(F.collect_list("x")).alias("x"))
     pre = F.transform(F.slice("x", F.lit(1), _prefix_len(F.size("x"), num)), lambda s: F.struct(s["t"].alias("t"), F.floor(s["c"] / _PART).cast("int").alias("parts")))
@@ -140,7 +141,7 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     occurrences = scratch.save(table.select(*_ID, "s1", "s2"))
     scratch.discard(table)
 
-    posting = _by_rarity(sets, lines, similarity, scratch).select("ord", "n", F.posexplode("pre").alias("pos", "x")).select("ord", "n", "pos", "x.*")
+    posting = _by_rarity(sets, lines, similarity, scratch).select("ord", "n", F.posexplode_outer("pre").alias("pos", "x")).select("ord", "n", "pos", "x.*")
     scratch.release()
     # Two longs and two small numbers a row: the id of a line is looked up for the few that meet.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similarity))).cast("bigint")
