@@ -21,8 +21,32 @@ def _sanitize(c: str) -> str:
 _ASCII_SHARE = r"length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(regexp_replace(text, '[^\p{L}]', '', 'g'))"
 _SHARE = rf"CASE WHEN length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) > 0 THEN {_ASCII_SHARE} END"
 
+def _bad(c: str) -> str:
+    return f"{c} NOT IN {_list(config.ACADEMIC + config.VERB_LIKE)} AND regexp_matches({c}, '^[a-z]')"
+
+
+def _gap(c: str) -> str:
+    return f"length({c}) = 1 AND NOT regexp_matches({c}, '^[a-z]')"
+
+
+_PHRASES = rf"""
+pw AS (SELECT doc_id, domain, i, p[i] AS w, p[i + 1] AS a1, p[i + 2] AS a2, p[i + 3] AS a3, p[i + 4] AS a4 FROM (
+  SELECT doc_id, domain, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang AS domain, regexp_extract_all(lower(text), '[a-z][a-z0-9\-_/()]*|[^a-z]+') AS p FROM documents WHERE text IS NOT NULL))),
+ph AS (
+  SELECT DISTINCT doc_id, domain, w || ' ' || a2 AS phrase, 2 AS n FROM pw WHERE {_bad('w')} AND {_gap('a1')} AND {_bad('a2')}
+  UNION ALL SELECT DISTINCT doc_id, domain, w || ' ' || a2 || ' ' || a4, 3 FROM pw WHERE {_bad('w')} AND {_gap('a1')} AND {_bad('a2')} AND {_gap('a3')} AND {_bad('a4')})
+"""
+_VALID = rf"""length(term) >= 3 AND NOT ({" OR ".join(f"contains(term, '{x}')" for x in config.DEBUG_TERMS)})
+  AND len(list_filter(regexp_extract_all(term, '{_TOK}'), lambda x: x NOT IN {_list(config.ACADEMIC)})) > 0
+  AND len(list_filter(regexp_extract_all(term, '{_TOK}'), lambda x: x IN {_list(config.VERB_LIKE + config.CONNECTORS)})) = 0
+  AND term NOT IN {_list(config.ACADEMIC + config.DOMAIN_GENERIC)}"""
 _GRID = rf"""
-tok AS (SELECT doc_id, lang AS domain, unnest(list_distinct(regexp_extract_all(lower(text), '{_TOK}'))) AS term FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+{_PHRASES.strip()},
+one AS (SELECT doc_id, lang AS domain, unnest(list_distinct(regexp_extract_all(lower(text), '{_TOK}'))) AS term FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL),
+all_terms AS (SELECT doc_id, domain, term FROM one UNION ALL SELECT doc_id, domain, phrase FROM ph WHERE domain IS NOT NULL),
+often AS (SELECT term FROM all_terms GROUP BY term HAVING count(*) >= 5),
+fine AS (SELECT term FROM often WHERE {_VALID}),
+tok AS (SELECT doc_id, domain, term FROM all_terms SEMI JOIN fine USING (term)),
 cnt AS (SELECT domain, term, count(*) AS c FROM tok GROUP BY ALL),
 tot AS (SELECT term, CAST(sum(c) AS BIGINT) AS total FROM cnt GROUP BY term HAVING sum(c) >= 5),
 voc AS (SELECT term, total FROM tot WHERE total <= floor((SELECT count(*) FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) * 0.4::DOUBLE)),
@@ -33,7 +57,8 @@ dl AS (SELECT *, ln(yd / greatest(nd + 1000::DOUBLE - yd, 1e-9)) - ln(yo / great
 mined AS (SELECT *, delta / sqrt(1 / greatest(yd, 1e-12) + 1 / greatest(yo, 1e-12)) AS z, c / greatest(nd::DOUBLE, 1e-12) * ln(1 + nt::DOUBLE / greatest(total, 1)) AS ctfidf FROM dl),
 m6 AS (SELECT domain, term, c, total, round(delta, 6) AS delta, round(z, 6) AS z, ctfidf, 0.7 * z + (1 - 0.7::DOUBLE) * ln(1 + greatest(ctfidf, 0)) AS combined FROM mined)
 """
-_STYLE = "style AS (SELECT domain, term, z, row_number() OVER (PARTITION BY domain ORDER BY z DESC, term) AS rank FROM m6 QUALIFY rank <= 200)"
+_TOPIC = f"CASE WHEN contains(term, ' ') THEN len(list_filter(string_split(term, ' '), lambda x: x IN {_list(config.GENERIC_SCIENCE)})) >= 2 ELSE term IN {_list(config.GENERIC_SCIENCE + config.ACADEMIC)} END"
+_STYLE = f"style AS (SELECT domain, term, z, row_number() OVER (PARTITION BY domain ORDER BY len(string_split(term, ' ')) DESC, z DESC, term) AS rank FROM m6 WHERE NOT ({_TOPIC}) QUALIFY rank <= 300)"
 
 _SIMPLE = rf"""
 st0 AS (SELECT doc_id, lang AS domain, regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')), '{_PUNCT}', '', 'g') AS term FROM documents),
@@ -71,21 +96,6 @@ tri AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lam
 """
 
 
-def _bad(c: str) -> str:
-    return f"{c} NOT IN {_list(config.ACADEMIC + config.VERB_LIKE)} AND regexp_matches({c}, '^[a-z]')"
-
-
-def _gap(c: str) -> str:
-    return f"length({c}) = 1 AND NOT regexp_matches({c}, '^[a-z]')"
-
-
-_PHRASES = rf"""
-pw AS (SELECT doc_id, domain, i, p[i] AS w, p[i + 1] AS a1, p[i + 2] AS a2, p[i + 3] AS a3, p[i + 4] AS a4 FROM (
-  SELECT doc_id, domain, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, lang AS domain, regexp_extract_all(lower(text), '[a-z][a-z0-9\-_/()]*|[^a-z]+') AS p FROM documents WHERE text IS NOT NULL))),
-ph AS (
-  SELECT DISTINCT doc_id, domain, w || ' ' || a2 AS phrase, 2 AS n FROM pw WHERE {_bad('w')} AND {_gap('a1')} AND {_bad('a2')}
-  UNION ALL SELECT DISTINCT doc_id, domain, w || ' ' || a2 || ' ' || a4, 3 FROM pw WHERE {_bad('w')} AND {_gap('a1')} AND {_bad('a2')} AND {_gap('a3')} AND {_bad('a4')})
-"""
 _HINTS = {"en": ("the ", " of "), "fr": (" de ", " la "), "de": ("der ", "ein"), "es": ("ción", " el ")}
 _HIT = {k: " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in v) for k, v in _HINTS.items()}
 _ALL = " + ".join(_HIT.values())
@@ -99,7 +109,9 @@ amb AS (SELECT doc_id, domain, p AS confidence, round(p - p2, 6) AS gap, CASE WH
 )
 _EV = rf"""
 lex AS (SELECT term, z FROM m6 WHERE domain = 'en' AND z > 0),
-ev AS (SELECT conv_id, turn, least(2.0, sum(least(6.0, greatest(0.0, z)) * 0.25)) AS ev, count(*) AS hits FROM (SELECT conv_id, turn, unnest({_set('candidate')}) AS term FROM pairs) JOIN lex USING (term) GROUP BY ALL)
+pt AS (SELECT conv_id, turn, regexp_extract_all(lower(candidate), '{_TOK}') AS w FROM pairs),
+pg AS (SELECT conv_id, turn, unnest(list_distinct(w || list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')) || list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) AS term FROM pt),
+ev AS (SELECT conv_id, turn, least(2.0, sum(least(6.0, greatest(0.0, z)) * CASE len(string_split(term, ' ')) WHEN 1 THEN 0.25 WHEN 2 THEN 0.7 ELSE 1.0 END)) AS ev, count(*) AS hits FROM pg JOIN lex USING (term) GROUP BY ALL)
 """
 _KIND = """
 fr AS (SELECT term, delta FROM m6 WHERE domain = 'fr'),
@@ -121,14 +133,14 @@ ORACLES = {
     "mine_addone_logodds": f"WITH {_SIMPLE} SELECT domain, term, c, round(log_odds, 6) AS log_odds FROM lo",
     "mine_tfidf_mean": f"WITH {_TFIDF} SELECT domain, term, round(tfidf_mean, 6) AS tfidf_mean FROM tm",
     "mine_simple_lexicon": f"""WITH {_SIMPLE}, {_TFIDF},
-      a AS (SELECT domain, term, 0 AS pool, row_number() OVER (PARTITION BY domain ORDER BY round(log_odds, 6) DESC, term) AS rank, round(log_odds, 6) AS log_odds FROM lo QUALIFY rank <= 60),
-      b AS (SELECT domain, term, 1 AS pool, row_number() OVER (PARTITION BY domain ORDER BY round(tfidf_mean, 6) DESC, term) AS rank, 0::DOUBLE AS log_odds FROM tm QUALIFY rank <= 60),
+      a AS (SELECT domain, term, 0 AS pool, row_number() OVER (PARTITION BY domain ORDER BY round(log_odds, 6) DESC, term) AS rank, round(log_odds, 6) AS log_odds FROM lo QUALIFY rank <= 600),
+      b AS (SELECT domain, term, 1 AS pool, row_number() OVER (PARTITION BY domain ORDER BY round(tfidf_mean, 6) DESC, term) AS rank, 0::DOUBLE AS log_odds FROM tm QUALIFY rank <= 600),
       u AS (SELECT *, row_number() OVER (PARTITION BY domain, term ORDER BY pool, rank) AS k FROM (SELECT * FROM a UNION ALL SELECT * FROM b) QUALIFY k = 1)
-      SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY pool, rank) AS INTEGER) AS pos, term, log_odds FROM u QUALIFY pos <= 20""",
-    "mine_dirichlet_logodds": f"WITH {_GRID} SELECT domain, term, c, total, delta, z, CAST(row_number() OVER (PARTITION BY domain ORDER BY z DESC, term) AS INTEGER) AS rank FROM m6 QUALIFY rank <= 20",
+      SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY pool, rank) AS INTEGER) AS pos, term, log_odds FROM u QUALIFY pos <= 200""",
+    "mine_dirichlet_logodds": f"WITH {_GRID} SELECT domain, term, c, total, delta, z, CAST(row_number() OVER (PARTITION BY domain ORDER BY z DESC, term) AS INTEGER) AS rank FROM m6",
     "mine_ctfidf": f"WITH {_GRID} SELECT domain, term, c, round(ctfidf, 6) AS ctfidf FROM m6 WHERE c > 0",
     "mine_combined_topk": f"WITH {_GRID} SELECT domain, term, round(combined, 6) AS combined, CAST(row_number() OVER (PARTITION BY domain ORDER BY round(combined, 6) DESC, term) AS INTEGER) AS rank FROM m6 QUALIFY rank <= 50",
-    "mine_vocab_removed": f"WITH {_GRID} SELECT term, total FROM tot WHERE total > floor((SELECT count(*) FROM documents) * 0.4::DOUBLE)",
+    "mine_vocab_removed": f"WITH {_GRID} SELECT term, total FROM tot WHERE total > floor((SELECT count(*) FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL) * 0.4::DOUBLE)",
     "phrase_ngrams": f"WITH {_PHRASES} SELECT domain, n, count(*) AS occurrences, count(DISTINCT phrase) AS phrases FROM ph GROUP BY ALL",
     "phrase_style_topic": f"""WITH {_PHRASES}, g AS (SELECT domain, phrase, n, count(*) AS df FROM ph GROUP BY ALL HAVING count(*) >= 3)
       SELECT domain, phrase, n, df, CASE WHEN len(list_filter(string_split(phrase, ' '), lambda x: x IN {_list(config.GENERIC_SCIENCE)})) >= 2 THEN 'topic' ELSE 'style' END AS kind
@@ -152,12 +164,12 @@ ORACLES = {
       FROM f ORDER BY flagged DESC, distinctiveness DESC, familiarity, term LIMIT 200""",
     "term_strategy_class": f"WITH {_GRID}, {_KIND} SELECT * FROM kinds",
     "strategy_penalty": f"WITH {_GRID}, {_KIND} SELECT doc_id, round(least(0.35, sum(CASE kind WHEN 'unique' THEN 0.08::DOUBLE WHEN 'intranslatable' THEN 0.1::DOUBLE ELSE 0 END)), 6) AS penalty FROM tok JOIN kinds USING (term) WHERE domain = 'fr' GROUP BY 1",
-    "analog_jaccard_topk": f"""WITH {_TRI}, a AS (SELECT DISTINCT term, list_distinct(string_split(term, ' ')) AS s FROM tri WHERE item_id % 2 = 0), b AS (SELECT DISTINCT term, list_distinct(string_split(term, ' ')) AS s FROM tri WHERE item_id % 2 = 1),
+    "analog_jaccard_topk": f"""WITH {_TRI}, a AS (SELECT DISTINCT term, list_distinct(string_split(term, ' ')) AS s FROM tri), b AS (SELECT DISTINCT term, list_distinct(string_split(term, ' ')) AS s FROM tri),
       ja AS (SELECT term, len(s) AS n, unnest(s) AS t FROM a), jb AS (SELECT term, len(s) AS n, unnest(s) AS t FROM b),
       sc AS (SELECT ja.term, jb.term AS candidate, round(count(*) / (max(ja.n) + max(jb.n) - count(*)), 6) AS score, count(*) / (max(ja.n) + max(jb.n) - count(*)) AS raw FROM ja JOIN jb USING (t) WHERE ja.term <> jb.term GROUP BY ALL)
       SELECT term, candidate, score, CAST(row_number() OVER (PARTITION BY term ORDER BY raw DESC, candidate) AS INTEGER) AS rank FROM sc WHERE raw >= 0.2 QUALIFY rank <= 5""",
     "analog_cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-      s AS (SELECT p.vec_id AS probe, v.vec_id, round(list_dot_product(v.e, p.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(p.e, p.e))), 6) AS cosine FROM v JOIN v p ON p.vec_id < 20 AND p.vec_id <> v.vec_id)
+      s AS (SELECT p.vec_id AS probe, v.vec_id, round(list_dot_product(v.e, p.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(p.e, p.e))), 6) AS cosine FROM v JOIN v p ON p.vec_id % 50 = 0 AND p.vec_id <> v.vec_id)
       SELECT probe, vec_id, cosine, CAST(row_number() OVER (PARTITION BY probe ORDER BY cosine DESC, vec_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""",
     "evidence_snippets": rf"""WITH {_TRI}, wt AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '{_TOK}') AS w FROM documents),
       tk AS (SELECT doc_id, lang, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM wt),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import more  # noqa: F401  registers its queries
+from .more_sql import ORACLES as MORE
 from .oracles import ORACLES
 from .queries import QUERIES
 
@@ -13,4 +15,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | MORE
