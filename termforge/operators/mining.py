@@ -161,16 +161,19 @@ def kind_of(term: str | Column) -> Column:
 
 
 def adjacent_ngrams(docs: DataFrame) -> DataFrame:
-    """(doc_id, domain, phrase, n): bigrams and trigrams of adjacent tokens one character apart, no stop or verb-like token."""
+    """(doc_id, domain, phrase, n): bigrams and trigrams of adjacent tokens one character apart, no stop or verb-like token.
+
+    A token's followers are taken from the array of its text, so nothing is shuffled before the result is made distinct.
+    """
     bad = config.ACADEMIC + config.VERB_LIKE
     parts = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z][a-z0-9\-_/()]*|[^a-z]+"), F.lit(0))
     base = docs.where("text is not null").select("doc_id", F.col("lang").alias("domain"), parts.alias("p"))
-    words = base.select("doc_id", "domain", F.posexplode("p").alias("i", "w"))
-    w = Window.partitionBy("doc_id").orderBy("i")
-    ahead = words.withColumns({f"a{k}": F.lead("w", k).over(w) for k in (1, 2, 3, 4)})
+    each = F.transform("p", lambda w, i: F.struct(w.alias("w"), *[F.get("p", i + k).alias(f"a{k}") for k in (1, 2, 3, 4)]))
+    ahead = base.select("doc_id", "domain", F.explode_outer(each).alias("x")).select("doc_id", "domain", "x.*")
     is_word = lambda c: F.col(c).rlike("^[a-z]") & ~F.col(c).isin(*bad)
-    two = is_word("w") & (F.length("a1") == 1) & ~F.col("a1").rlike("^[a-z]") & is_word("a2")
-    three = two & (F.length("a3") == 1) & ~F.col("a3").rlike("^[a-z]") & is_word("a4")
-    bi = ahead.where(two).select("doc_id", "domain", F.concat_ws(" ", "w", "a2").alias("phrase"), F.lit(2).alias("n"))
-    tri = ahead.where(three).select("doc_id", "domain", F.concat_ws(" ", "w", "a2", "a4").alias("phrase"), F.lit(3).alias("n"))
-    return bi.unionByName(tri).distinct()
+    gap = lambda c: (F.length(c) == 1) & ~F.col(c).rlike("^[a-z]")
+    two = is_word("w") & gap("a1") & is_word("a2")
+    pair = F.when(two, F.struct(F.concat_ws(" ", "w", "a2").alias("phrase"), F.lit(2).alias("n")))
+    triple = F.when(two & gap("a3") & is_word("a4"), F.struct(F.concat_ws(" ", "w", "a2", "a4").alias("phrase"), F.lit(3).alias("n")))
+    out = ahead.where(two).select("doc_id", "domain", F.explode_outer(F.filter(F.array(pair, triple), lambda x: x.isNotNull())).alias("g"))
+    return out.select("doc_id", "domain", "g.phrase", "g.n").distinct()

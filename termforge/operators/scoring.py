@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import text as T
+from . import evaluation
 
 
 def term_scores(stats: DataFrame, lexicon: DataFrame, src: str, tgt: str, p: config.Scoring = config.Scoring()) -> DataFrame:
@@ -18,6 +19,10 @@ def term_scores(stats: DataFrame, lexicon: DataFrame, src: str, tgt: str, p: con
     An absent z is 0; a term of the lexicon counts as .6 familiar, or .8 distinctive, where its z is 0.
     """
     per = stats.groupBy("term").agg(F.coalesce(F.max(F.when(F.col("domain") == tgt, F.col("z"))), F.lit(0.0)).alias("tz"), F.coalesce(F.max(F.when(F.col("domain") == src, F.col("z"))), F.lit(0.0)).alias("sz"), F.max(F.when(F.col("domain") != src, F.col("z"))).alias("oz"))
+    # A domain without the term has z = 0 in the maximum over the others.
+    others = stats.where(F.col("domain") != src).agg(F.countDistinct("domain").alias("n_other"))
+    has = stats.where(F.col("domain") != src).groupBy("term").agg(F.countDistinct("domain").alias("n_has"))
+    per = per.join(has, "term", "left").join(F.broadcast(others), how="cross").withColumn("oz", F.when(F.coalesce("n_has", F.lit(0)) < F.col("n_other"), F.greatest(F.coalesce("oz", F.lit(0.0)), F.lit(0.0))).otherwise(F.col("oz")))
     in_lex = lexicon.groupBy("term").agg(F.max(F.col("domain") == tgt).alias("in_t"), F.max(F.col("domain") == src).alias("in_s"))
     j = per.join(in_lex, "term", "left")
     in_t, in_s = F.coalesce("in_t", F.lit(False)), F.coalesce("in_s", F.lit(False))
@@ -151,39 +156,10 @@ def arm_stats(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("user_id").alias("route"), F.col("event_type").alias("action")).agg(F.count("*").alias("pulls"), F.sum("value").alias("total"), F.avg("value").alias("mean"))
 
 
-def suppress_overlaps(spans: DataFrame) -> DataFrame:
-    """Greedy suppression of spans (doc_id, term, start, end, source, technical) that overlap a kept one by more than half."""
-    ranks = {"entity": 3, "noun_chunk": 2, "compound": 1, "yake": 0}
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.to_dict("records"), key=lambda r: (-r["technical"], r["start"] - r["end"], -ranks.get(r["source"], 0), r["start"]))
-        kept: list[dict] = []
-        for c in rows:
-            size, drop = c["end"] - c["start"], False
-            for k in kept:
-                other = k["end"] - k["start"]
-                common = min(c["end"], k["end"]) - max(c["start"], k["start"])
-                if common / max(1, min(size, other)) <= 0.5:
-                    continue
-                if other >= size or c["source"] != "yake" and ranks.get(k["source"], 0) >= ranks.get(c["source"], 0):
-                    drop = True
-                    break
-            if not drop:
-                kept.append(c)
-        return pd.DataFrame(sorted(kept, key=lambda r: r["start"]), columns=pdf.columns).drop_duplicates(["term", "start", "end"])
-
-    return spans.groupBy("doc_id").applyInPandas(one, spans.schema)
-
-
 def confusion(pred: DataFrame, label: str = "label", guess: str = "prediction") -> DataFrame:
     return pred.groupBy(label, guess).count()
 
 
 def class_metrics(pred: DataFrame, label: str = "label", guess: str = "prediction") -> DataFrame:
-    """(label, support, precision, recall, f1)."""
-    truth = pred.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("support"), F.count_if(F.col(label) == F.col(guess)).alias("tp"))
-    said = pred.groupBy(F.col(guess).alias("g")).agg(F.count("*").alias("said"))
-    j = truth.join(said, F.col("label") == F.col("g"), "left")
-    prec = F.when(F.col("said") > 0, F.col("tp") / F.col("said")).otherwise(F.lit(0.0))
-    rec = F.col("tp") / F.col("support")
-    return j.select("label", "support", prec.alias("precision"), rec.alias("recall"), F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)).alias("f1"))
+    """(label, support, precision, recall, f1) of every label that is true or predicted."""
+    return evaluation.accuracy_and_macro_f1(pred, label, guess)[1]

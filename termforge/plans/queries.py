@@ -322,10 +322,9 @@ def source_ambiguity(spark, d):
     hints = {"en": ("the ", " of "), "fr": (" de ", " la "), "de": ("der ", "ein"), "es": ("ción", " el ")}
     c = docs(spark, d)
     total = sum((T.keyword_hits("text", w) for w in hints.values()), F.lit(0))
-    e = c.select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("words"), F.explode(F.array(*[F.struct(F.lit(k).alias("domain"), F.when(total > 0, T.keyword_hits("text", w) / total).otherwise(F.lit(0.25)).alias("p")) for k, w in hints.items()])).alias("x"))
-    e = e.select("doc_id", "words", F.col("x.domain").alias("domain"), r6("x.p").alias("p"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("p"), "domain")
-    r = e.withColumns({"k": F.row_number().over(w), "p2": F.lead("p").over(w)}).where("k = 1")
+    # The arg max of four numbers is found in the row.
+    order = F.array_sort(F.array(*[F.struct((-r6(F.when(total > 0, T.keyword_hits("text", w) / total).otherwise(F.lit(0.25)))).alias("m"), F.lit(k).alias("domain")) for k, w in hints.items()]))
+    r = c.select("doc_id", F.size(F.split(F.trim("text"), r"\s+")).alias("words"), order.alias("x")).select("doc_id", "words", F.get("x", F.lit(0))["domain"].alias("domain"), (-F.get("x", F.lit(0))["m"]).alias("p"), (-F.get("x", F.lit(1))["m"]).alias("p2"))
     gap = r6(F.col("p") - F.col("p2"))
     reason = F.when(F.col("words") < 18, "too_short").when(F.col("p") < 0.55, "low_confidence").when(gap < 0.1, "small_gap").otherwise("ok")
     return r.select("doc_id", "domain", F.col("p").alias("confidence"), gap.alias("gap"), reason.alias("reason"))
@@ -380,7 +379,7 @@ def sibling_reassign(spark, d):
 
 @query
 def duplicate_counts(spark, d):
-    return docs(spark, d).groupBy("source").agg((F.count("*") - F.countDistinct("text")).alias("duplicates"))
+    return docs(spark, d).groupBy("source").agg((F.count("*") - F.countDistinct(F.sha2("text", 256))).alias("duplicates"))
 
 
 @query
