@@ -120,13 +120,19 @@ def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> Da
     if hot.isEmpty():
         return plain(sets)
     mask, _ = _bit_filter(hot.select("t"), "t")
-    warm = F.exists("pre", lambda t: _passes(mask, F.pmod(F.xxhash64(t), F.lit(_MASK_WORDS * 64))))
-    marked = scratch.save(sets.select(*_ID, "ord", "n", "pre", warm.alias("warm")))
-    each = lines.fetch(marked.where("warm").select(*_ID, "ord")).select("ord", F.explode_outer("tokens").alias("t")).where("t is not null")
-    seen = each.join(hot.select(F.col("t").alias("h"), "count"), F.col("t") == F.col("h"), "left").select("ord", F.struct(F.coalesce("count", F.lit(0).cast("bigint")).alias("c"), "t").alias("x"))
-    ranked = seen.groupBy("ord").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    pre = F.transform(F.slice("x", F.lit(1), _prefix_len(F.size("x"), num)), lambda s: F.struct(s["t"].alias("t"), F.floor(s["c"] / _PART).cast("int").alias("parts")))
-    return plain(marked.where("not warm")).unionByName(ranked.select("ord", F.size("x").alias("n"), pre.alias("pre")))
+    maybe = lambda t: _passes(mask, F.pmod(F.xxhash64(t), F.lit(_MASK_WORDS * 64)))
+    warm = F.exists("pre", maybe)
+    tokens = scratch.save(lines.fetch(sets.where(warm).select(*_ID, "ord")).select("ord", "tokens"))
+    scratch.release()
+    # Only the tokens that may be frequent leave their row to be looked up.
+    asked = tokens.select("ord", F.explode_outer(F.filter("tokens", maybe)).alias("t")).where("t is not null")
+    found = asked.join(hot.select(F.col("t").alias("h"), "count"), F.col("t") == F.col("h")).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct(F.col("count").alias("c"), "t"))).alias("last"))
+    none = F.array().cast("array<struct<c:bigint,t:bigint>>")
+    met = tokens.join(found.withColumnRenamed("ord", "f_ord"), F.col("ord") == F.col("f_ord"), "left").select("ord", "tokens", F.coalesce("last", none).alias("last"))
+    first = F.transform(F.array_except("tokens", F.transform("last", lambda x: x["t"])), lambda t: F.struct(F.lit(0).cast("bigint").alias("c"), t.alias("t")))
+    ranked = met.select("ord", F.size("tokens").alias("n"), F.slice(F.concat(first, F.col("last")), F.lit(1), _prefix_len(F.size("tokens"), num)).alias("x"))
+    pre = F.transform("x", lambda s: F.struct(s["t"].alias("t"), F.floor(s["c"] / _PART).cast("int").alias("parts")))
+    return plain(sets.where(~warm)).unionByName(ranked.select("ord", "n", pre.alias("pre")))
 
 
 def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: int = 75, scratch: Scratch | None = None) -> DataFrame:
@@ -140,6 +146,7 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     sets = scratch.save(table.groupBy("s1", "s2").agg(F.min(F.struct(*_ID, "ord")).alias("at"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("pre").alias("pre")).select("at.*", "s1", "s2", "m", "n", "pre"))
     occurrences = scratch.save(table.select(*_ID, "s1", "s2"))
     scratch.discard(table)
+    scratch.release()
 
     posting = _by_rarity(sets, lines, similarity, scratch).select("ord", "n", F.posexplode_outer("pre").alias("pos", "x")).select("ord", "n", "pos", "x.*")
     scratch.release()
