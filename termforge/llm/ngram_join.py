@@ -277,6 +277,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, scratch: Scra
     met = met.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     out = scratch.save(met.mapInArrow(run, "a long, b long").distinct())
     del met, texts, dealt
+    scratch.discard(needs)
     scratch.release()
     return out
 
@@ -341,6 +342,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     left = now.join(mixed, F.col("t") == F.col("m_t")).drop("m_t")
     wides = left.groupBy(F.col("sig").alias("w_sig")).agg(F.count_if("wide").alias("wides"))
     left = scratch.save(left.join(wides, F.col("sig") == F.col("w_sig")).drop("w_sig"))
+    scratch.discard(columns)
+    scratch.release()
 
     def side(p: str) -> DataFrame:
         return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide", "wides")])
@@ -356,6 +359,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     for p, q in (("p_a", "p_b"), ("p_b", "p_a")):
         rest = rest.join(seen, (F.col("a") == F.col(p)) & (F.col("b") == F.col(q)), "left_anti")
     rest = scratch.save(rest)
+    scratch.discard(left)
+    del met
+    scratch.release()
     if not rest.isEmpty():
         joined = links.unionByName(_verified(d, rest, k, similarity, scratch))
         members = scratch.save(connected_components(joined, scratch))

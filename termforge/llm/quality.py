@@ -50,7 +50,9 @@ def quality_scores(docs: DataFrame, trusted: DataFrame, *, doc_id: str = "doc_id
     if model.isEmpty():
         return d.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("keep"))
     short = short_counts(model)
-    scored = scratch.save(score_documents(d, model, log_probability(short), 1, plain, shards, n_bytes)).withColumn("perplexity", F.exp(-F.col("total") / F.col("n_grams")))
+    scored = scratch.save(score_documents(d, model, log_probability(short), 1, plain, shards, n_bytes))
+    scratch.discard(model)
+    scored = scored.withColumn("perplexity", F.exp(-F.col("total") / F.col("n_grams")))
     held = _with_labels(scored, marks.where("fold = 0"))
     limit = (slack * F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))).alias("own")
     by_lang = held.where("lang is not null").groupBy(F.col("lang").alias("l")).agg(limit, F.count("*").alias("n")).where(F.col("n") >= least).select("l", "own")

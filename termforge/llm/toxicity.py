@@ -102,6 +102,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id
     shards = shards_for(n_bytes)
     model = scratch.save(count_grams(train, 2, words_only, shards))
     scored = scratch.save(score_documents(d, model, log_ratio(short_counts(model)), 2, words_only, shards, n_bytes))
+    scratch.discard(model)
     names = ["f0", "f1"]
     rows = _with_labels(scored, marks.where("fold = 4")).select("doc_id", "cls", *[c.alias(x) for c, x in zip(_features(), names)]).orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(CALIBRATION_ROWS).toPandas()
     x, y = rows[names].to_numpy(float), rows["cls"].to_numpy(float)
