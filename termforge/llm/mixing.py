@@ -24,7 +24,7 @@ DRIVER_SOURCES = 100_000
 
 def weights_at(exponent: float, shares: np.ndarray) -> np.ndarray:
     w = np.where(shares > 0, np.power(np.maximum(shares, 1e-300), exponent), 0.0)
-    return w / w.sum()
+    return w / max(w.sum(), 1e-300)
 
 
 def entropy(w: np.ndarray) -> float:
@@ -69,7 +69,7 @@ def _source_weights(sources: DataFrame, total: int, budget: float, target_entrop
 
         def measure(e: float) -> tuple[float, float]:
             w = weights_at(e, p)
-            return entropy(w), float((w[p > 0] / p[p > 0]).max())
+            return entropy(w), float((w[p > 0] / p[p > 0]).max(initial=0.0))
 
         e = bisect_exponent(measure, target_entropy=target_entropy, repetition_limit=repetition_limit, budget_ratio=ratio)
         rows["weight"] = weights_at(e, p)
@@ -82,13 +82,17 @@ def _source_weights(sources: DataFrame, total: int, budget: float, target_entrop
         r = sources.where("tokens > 0").agg(F.sum(z).alias("z"), F.sum(z * F.log(z)).alias("l"), F.max(z / p).alias("m")).first()
         return math.log(r["z"]) - r["l"] / r["z"], r["m"] / r["z"], r["z"]
 
-    e = bisect_exponent(lambda x: measured(x)[:2], target_entropy=target_entropy, repetition_limit=repetition_limit, budget_ratio=ratio, steps=30)
+    e = bisect_exponent(lambda x: measured(x)[:2], target_entropy=target_entropy, repetition_limit=repetition_limit, budget_ratio=ratio)
     z = measured(e)[2]
     return sources.withColumn("weight", F.when(F.col("tokens") > 0, F.pow(p, F.lit(e)) / z).otherwise(0.0)), e
 
 
 def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", target_entropy: float | None = None, repetition_limit: float | None = None, entropy_share: float | None = None, budget: int | None = None, block_tokens: int = 1 << 20, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The mixture's rows: doc_id, source, n_tokens, epoch (from 0), block, weight and columns of ``keep``.
+    """The mixture's rows: doc_id, source, n_tokens, epoch (from 0), block, position, weight and columns of ``keep``.
+
+    An epoch's blocks come in the order of position, another one in every epoch.
+    Columns of ``keep`` with the name of one of these are left out; all other
+    columns of ``docs`` are ignored.
 
     Tokens are runs without white space.  ``budget`` is the mixture's size in
     tokens, by default that of all documents.  ``entropy_share`` sets the target
@@ -99,6 +103,7 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     are rows of their own.  An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession)
+    keep = tuple(c for c in keep if c.lower() not in ("doc_id", "source", "n_tokens", "epoch", "block", "position", "weight"))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("long").alias("n_tokens"), *[F.col(c).alias("keep_" + c) for c in keep])
     slim = own if keep else scratch.save(own)
     base = slim.select("doc_id", "source", "n_tokens")
@@ -137,4 +142,5 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     rows = sure.unionByName(cut)
     times = F.col("epochs") + F.coalesce(F.col("whole").cast("int"), F.lit(0))
     rows = rows.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
-    return rows.select("doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", "weight", *[F.col("keep_" + c).alias(c) for c in keep])
+    position = F.xxhash64(F.lit(seed), "source", "epoch", "block").alias("position")
+    return rows.select("doc_id", "source", "n_tokens", F.col("epoch").cast("int").alias("epoch"), "block", position, "weight", *[F.col("keep_" + c).alias(c) for c in keep])

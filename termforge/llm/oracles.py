@@ -86,6 +86,7 @@ FROM n JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) m ON m.x =
 _URL = {
     "rest": "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END",
 }
+_ATTR = r"""\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))"""
 OP8 = rf"""
 WITH RECURSIVE u AS (
   SELECT page_id, url, html, split_part({_URL["rest"]}, '#', 1) AS rest FROM pages
@@ -97,15 +98,20 @@ WITH RECURSIVE u AS (
 ), rules(h, r, v) AS (
   VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
 ), tags AS (
-  SELECT url AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages
-), link AS (
-  SELECT src, regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''>\s]+)', 1) AS dst FROM tags WHERE regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical')
-  UNION SELECT src, regexp_extract(tag, '(?is)url\s*=\s*[''"]?([^''">]+)', 1) FROM tags WHERE regexp_matches(tag, '(?is)http-equiv\s*=\s*["'']?refresh')
+  SELECT url AS src, split_part(url, '://', 1) AS scheme, host, path, unnest(regexp_extract_all(coalesce(html, ''), '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM p WHERE instr(url, '://') > 0
+), attr AS (
+  SELECT *, """ + ", ".join(f"""concat(regexp_extract(tag, '(?is)\\b{name}{_ATTR}', 1), regexp_extract(tag, '(?is)\\b{name}{_ATTR}', 2), regexp_extract(tag, '(?is)\\b{name}{_ATTR}', 3)) AS a_{alias}""" for name, alias in (("rel", "rel"), ("href", "href"), ("http-equiv", "equiv"), ("content", "content"))) + rf""" FROM tags
+), aim AS (
+  SELECT src, scheme, host, path, regexp_replace(path, '[^/]*$', '') AS folder,
+         trim(replace(CASE WHEN list_contains(regexp_split_to_array(lower(a_rel), '\s+'), 'canonical') THEN a_href
+                           WHEN lower(a_equiv) = 'refresh' THEN regexp_extract(a_content, '(?is)url\s*=\s*[''"]?([^''"]+)', 1) END, '&amp;', '&')) AS aim FROM attr
 ), node AS (
-  SELECT src AS url, src, dst FROM link WHERE instr(src, '://') > 0 AND instr(dst, '://') > 0
+  SELECT src, CASE WHEN regexp_matches(aim, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN aim WHEN starts_with(aim, '//') THEN scheme || ':' || aim WHEN starts_with(aim, '/') THEN scheme || '://' || host || aim
+         WHEN substr(aim, 1, 1) IN ('?', '#') THEN scheme || '://' || host || path || aim ELSE scheme || '://' || host || CASE WHEN folder = '' THEN '/' ELSE folder END || aim END AS dst
+  FROM aim WHERE aim <> ''
 ), addr AS (
   SELECT DISTINCT x AS url, {_ASCII.format("regexp_extract(split_part(substr(x, instr(x, '://') + 3), '#', 1), '^([^/?]*)', 1)")} AS host,
-         regexp_extract(split_part(substr(x, instr(x, '://') + 3), '#', 1), '^[^/?]*(.*)$', 1, 's') AS tail
+         regexp_replace(regexp_extract(split_part(substr(x, instr(x, '://') + 3), '#', 1), '^[^/?]*(.*)$', 1, 's'), '^(\?|$)', '/\1') AS tail
   FROM (SELECT src AS x FROM node UNION SELECT dst FROM node)
 ), step AS (SELECT a.host || a.tail AS x, b.host || b.tail AS y FROM node JOIN addr a ON a.url = node.src JOIN addr b ON b.url = node.dst),
 edge AS (SELECT x, y FROM step UNION SELECT y, x FROM step),
@@ -119,7 +125,7 @@ best AS (
   FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r) GROUP BY page_id, url
 )
 SELECT p.page_id, p.host, p.path, best.rule,
-       coalesce(best.v, CASE WHEN p.host || p.path || p.query IN (SELECT x FROM spread) THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(best.v, CASE WHEN p.host || CASE WHEN p.path = '' THEN '/' ELSE p.path END || p.query IN (SELECT x FROM spread) THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best ON best.page_id = p.page_id AND best.url = p.url
 """
 

@@ -63,10 +63,10 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = 5, id_col: str
     smaller vec_id.  Of vectors of different lengths the shorter counts as zero
     beyond its end.  Rows with a null id or an unusable vector take no part, on
     either side.  Repeated candidate rows each take a rank; repeated query ids
-    are searched once.  With fewer than k candidates all are returned; empty
+    are searched once, by the smallest of their vectors.  With fewer than k candidates all are returned; empty
     tables give no rows.  Other columns are ignored.  Sums must fit 64 bits.
     """
-    q = queries.select(F.col(id_col).cast("long").alias("vec_id"), weights(vector, scale).alias("w")).where("vec_id is not null and w is not null").dropDuplicates(["vec_id"])
+    q = queries.select(F.col(id_col).cast("long").alias("vec_id"), weights(vector, scale).alias("w")).where("vec_id is not null and w is not null").groupBy("vec_id").agg(F.min("w").alias("w"))
     c = candidates.select(F.col(id_col).cast("long").alias("vec_id"), weights(vector, scale).alias("w")).where("vec_id is not null and w is not null")
     n_c, n_q = candidates.count(), queries.count()
     c_blocks, q_blocks = max(1, -(-n_c // block_rows)), max(1, -(-n_q // query_rows))
