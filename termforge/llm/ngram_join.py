@@ -24,6 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from . import textbytes as tb
 from .components import connected_components
@@ -33,6 +34,8 @@ _COUNTER_BITS, _SEGMENTS, _BIT_SPACE = 22, 64, 1 << 23
 _HOT_LEVEL = 16
 #: Rows of a column, above which its products must keep the positional bound.
 _WIDE = 64
+#: Of a row's shared columns so many of the rarest and of the most frequent are searched for hubs.
+_RARE, _FREQUENT = 4, 12
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -319,15 +322,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     scratch.release()
     # The hub of a column: of each size class the row with the least columns of its own, so that a
     # text is preferred to its edited copies.  Two overlapping series of size classes are used.
-    degree = columns.groupBy(F.col("sig").alias("d_sig")).agg((F.count("*") / F.first(F.expr(f"n - ({similarity} * n + 99) div 100 + 1"))).alias("shared"))
-    graded = columns.select("t", "sig", "n").join(degree, F.col("sig") == F.col("d_sig"))
+    # A row asks for hubs in its most frequent columns and a few of its rarest; what this leaves out is taken up below.
+    own = Window.partitionBy("sig")
+    ranked = columns.withColumns({"m": F.count("*").over(own), "rk": F.row_number().over(own.orderBy("pos", "t"))}).where((F.col("rk") <= _RARE) | (F.col("m") - F.col("rk") < _FREQUENT))
+    graded = ranked.withColumn("shared", (F.col("m") / F.expr(f"n - ({similarity} * n + 99) div 100 + 1")).cast("float"))
     size = 2 * F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / similarity))
     graded = graded.withColumn("band", F.explode(F.array(F.floor(size / 2), F.lit(1 << 20) + F.floor((size + 1) / 2)))).select("t", "band", "sig", "n", "shared")
     graded = scratch.save(graded)
     tops = graded.groupBy("t", "band").agg(F.max(F.struct("shared", "sig", "n")).alias("h"), F.count("*").alias("m")).where("m > 1").select(F.col("t").alias("h_t"), F.col("band").alias("h_band"), F.col("h.sig").alias("hub"), F.col("h.n").alias("hub_n"))
-    hubs = graded.join(tops, (F.col("t") == F.col("h_t")) & (F.col("band") == F.col("h_band"))).where("sig <> hub").select("t", "sig", "n", "hub", "hub_n").distinct()
-    # Of a set's hubs the one it meets most often, if often enough to be like it; what this leaves out is taken up below.
-    counted = hubs.groupBy("sig", "n", "hub", "hub_n").count().where(3 * F.col("count") >= _least_shared(similarity, "n", "hub_n"))
+    hubs = graded.join(tops, (F.col("t") == F.col("h_t")) & (F.col("band") == F.col("h_band"))).where("sig <> hub").select("sig", "n", "hub", "hub_n")
+    # Of a set's hubs the one it meets most often, if often enough to be like it.
+    asked = F.least(F.lit(_RARE + _FREQUENT), _least_shared(similarity, "n", "hub_n"))
+    counted = hubs.groupBy("sig", "n", "hub", "hub_n").count().where(3 * F.col("count") >= asked)
     pairs = scratch.save(counted.groupBy("sig").agg(F.max(F.struct("count", "hub")).alias("top")).select(F.col("sig").alias("a"), F.col("top.hub").alias("b")))
     del hubs, counted, tops
     scratch.discard(graded)
@@ -340,21 +346,24 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     now = columns.select("t", "sig", "n", "pos").join(comp, F.col("sig") == F.col("c_sig"), "left").withColumn("component", F.coalesce("component", "sig")).drop("c_sig")
     mixed = now.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("t").alias("m_t"), (F.col("m") > _WIDE).alias("wide"))
     left = now.join(mixed, F.col("t") == F.col("m_t")).drop("m_t")
-    wides = left.groupBy(F.col("sig").alias("w_sig")).agg(F.count_if("wide").alias("wides"))
-    left = scratch.save(left.join(wides, F.col("sig") == F.col("w_sig")).drop("w_sig"))
+    left = scratch.save(left)
     scratch.discard(columns)
     scratch.release()
+    wides = left.where("wide").groupBy(F.col("sig").alias("w_sig")).agg(F.count("*").alias("wides"))
 
     def side(p: str) -> DataFrame:
-        return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide", "wides")])
+        return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide")])
 
     # The first column that two similar rows share leaves room for the overlap in both.  Columns of many rows only give
     # products that keep this bound; of the others all are counted, and the wide ones that a row has are the most that is missing.
     fits = 100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")
     room = (100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n"))
     met = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits & (~F.col("x_wide") | room))
-    met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n", F.least("x_wides", "y_wides").alias("wides")).agg(F.count_if(~F.col("x_wide")).alias("count"), F.max(room).alias("room"))
-    rest = met.where(F.col("room") & (F.col("count") + F.col("wides") >= _least_shared(similarity, "x_n", "y_n"))).select("a", "b")
+    met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n").agg(F.count_if(~F.col("x_wide")).alias("count"), F.max(room).alias("room")).where("room")
+    for p in ("a", "b"):
+        met = met.join(wides.select(F.col("w_sig").alias(p + "_sig"), F.col("wides").alias(p + "_wides")), F.col(p) == F.col(p + "_sig"), "left")
+    missing = F.least(F.coalesce("a_wides", F.lit(0)), F.coalesce("b_wides", F.lit(0)))
+    rest = met.where(F.col("count") + missing >= _least_shared(similarity, "x_n", "y_n")).select("a", "b")
     seen = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"))
     for p, q in (("p_a", "p_b"), ("p_b", "p_a")):
         rest = rest.join(seen, (F.col("a") == F.col(p)) & (F.col("b") == F.col(q)), "left_anti")
