@@ -119,11 +119,23 @@ def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> Da
     scratch.release()
     if hot.isEmpty():
         return plain(sets)
-    mask, _ = _bit_filter(hot.select("t"), "t")
-    maybe = lambda t: _passes(mask, F.pmod(F.xxhash64(t), F.lit(_MASK_WORDS * 64)))
-    warm = F.exists("pre", maybe)
-    tokens = scratch.save(lines.fetch(sets.where(warm).select(*_ID, "ord")).select("ord", "tokens"))
+
+    def holding(keys: DataFrame):
+        mask, _ = _bit_filter(keys.select("t"), "t")
+        maybe = lambda t: _passes(mask, F.pmod(F.xxhash64(t), F.lit(_MASK_WORDS * 64)))
+        return maybe, F.exists("pre", maybe)
+
+    def fetched(which: Column) -> DataFrame:
+        return scratch.save(lines.fetch(sets.where(which).select(*_ID, "ord")).select("ord", "tokens"))
+
+    # Tokens that no line has among its first ones are frequent too: all tokens of the lines found are counted.
+    _, warm = holding(hot)
+    tokens = fetched(warm)
+    hot = scratch.save(tokens.select(F.explode_outer("tokens").alias("t")).groupBy("t").count().where(F.col("count") > HOT))
     scratch.release()
+    maybe, also = holding(hot)
+    more = fetched(also & ~warm)
+    tokens, warm = tokens.unionByName(more), warm | also
     # Only the tokens that may be frequent leave their row to be looked up.
     asked = tokens.select("ord", F.explode_outer(F.filter("tokens", maybe)).alias("t")).where("t is not null")
     found = asked.join(hot.select(F.col("t").alias("h"), "count"), F.col("t") == F.col("h")).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct(F.col("count").alias("c"), "t"))).alias("last"))
