@@ -129,4 +129,50 @@ SELECT p.page_id, p.host, p.path, best.rule,
 FROM p LEFT JOIN best ON best.page_id = p.page_id AND best.url = p.url
 """
 
-ORACLES = {"op3_topk_search": OP3, "op5_decontamination": OP5, "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op8_url_filter": OP8}
+OP12 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, x, regexp_extract_all(x, '[A-Za-z]+|[^A-Za-z]', 0, 's') AS u, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM d
+), r AS (
+  SELECT doc_id, x, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+         CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), c AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256
+FROM c
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x FROM documents
+), w AS (
+  SELECT doc_id, part, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+', 0, 's') AS w, min(doc_id) OVER (PARTITION BY x) AS first_id FROM d
+), f AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b, 100 * length(regexp_replace(x, '[^A-Z]', '', 'gs')) > 2 * length(x) AS c, regexp_matches(x, '[#$%&*|]') AS d, coalesce(first_id < doc_id, false) AS e,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id AS l, max(quality) FILTER (WHERE quality = 1) AS quality, max(toxic) FILTER (WHERE toxic = 1) AS toxic FROM labels GROUP BY doc_id) ON l = doc_id
+), n AS (SELECT part, a, b, c, d, e, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM l p, l q, l r, l s, l t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), fails AS (
+  SELECT *, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS which FROM n
+), steps AS (
+  SELECT part, filter_order, unnest(range(1, 6)) AS step, which, n, good, toxic,
+         CASE WHEN which = '' THEN 6 ELSE list_min(list_transform(string_split(which, ''), lambda y: instr(filter_order, y))) END AS gone FROM fails, o
+), marked AS (
+  SELECT *, contains(which, filter_order[step]) AS hit FROM steps
+), report AS (
+  SELECT part, filter_order, step, sum(CASE WHEN gone > step THEN n ELSE 0 END) AS kept, sum(CASE WHEN gone = step THEN n ELSE 0 END) AS removed, sum(CASE WHEN hit AND gone < step THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN which = filter_order[step] THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN gone = step AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN gone = step AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM marked GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+FROM report
+"""
+
+ORACLES = {"op3_topk_search": OP3, "op5_decontamination": OP5, "op6_line_dedup": OP6, "op7_ngram_join": OP7, "op8_url_filter": OP8, "op12_fill_in_middle": OP12, "op13_filter_audit": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality, token_counts, topk_search, toxicity, url_filter
+from . import decontamination, fill_in_middle, filter_audit, html_extraction, line_dedup, mixing, ngram_join, packing, quality, token_counts, topk_search, toxicity, url_filter
 
 RULES = [
     url_filter.Rule("org", "/", "allow"),
@@ -63,6 +63,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), trusted)
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(_table(spark, sf_dir, "documents"), capacity=4096, end_id=2)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"), seed=1)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_source_mixing": op1,
@@ -75,6 +89,9 @@ def queries() -> dict:
         "op8_url_filter": op8,
         "op9_html_extraction": op9,
         "op10_quality": op10,
+        "op11_packing": op11,
+        "op12_fill_in_middle": op12,
+        "op13_filter_audit": op13,
     }
 
 
