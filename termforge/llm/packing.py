@@ -10,12 +10,17 @@ Open windows are bounded: beyond ``open_windows``, and at the end of the
 partition, the fullest window is topped up with tokens cut from the emptiest.
 The one window that is left is cut into powers of two, which need no padding.
 
-Token ids come from the tokenizers library.  White space of ASCII bounds what
-the tokenizer sees as one, so distinct words are tokenized once and kept.
+Token ids come from the tokenizers library; distinct words are tokenized once
+and kept, as far as the memory set for that goes.
 """
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,37 +28,78 @@ from pyspark.sql import DataFrame, functions as F
 
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of ids and words kept from one text to the next, in each worker.
-KEPT_BYTES = 1 << 25
+KEPT_BYTES = 1 << 28
 #: Sequences of one partition are numbered below this.
 _PER_PARTITION = 1 << 33
 _EMIT_BYTES = 1 << 22
 
+# The normalizer and pattern of a tokenizer whose words can be told apart.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}
+_BLANKS = re.compile("[ \t\n\x0b\f\r]+")
+#: All but white space and printable ASCII without the apostrophe, and letters of Latin blocks whose lower case is one letter of them.
+_ODD = re.compile("[^ \t\n\x0b\f\r\x21-\x26\x28-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]")
+_UNIT = re.compile("[a-z\xc0-\u017f]+|[0-9]|[^a-z0-9\xc0-\u017f \t\n\x0b\f\r]+")
+
 
 class WordIds:
-    """The ids of texts as little-endian 32-bit integers, four bytes each."""
+    """The ids of texts as little-endian 32-bit integers, four bytes each.
+
+    A tokenizer that drops white space and cuts words as WORD_PATTERN says sees
+    a text as units that don't touch each other: runs of letters, single digits
+    and runs of other characters.  Distinct units are tokenized once, many in
+    one call; the ids that end a word tell them apart.  A word that holds an
+    apostrophe, an added token or a character whose class or case needs its
+    neighbours is tokenized as it is.  Any other tokenizer gets whole texts.
+    """
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.by_words = parts["normalizer"] == _NORMALIZER and parts["pre_tokenizer"]["type"] == "Sequence" and parts["pre_tokenizer"]["pretokenizers"][0] == _SPLIT and bool(suffix)
+        self.added = [x["content"] for x in parts["added_tokens"]]
+        if self.by_words:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
         self.size = 0
 
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if self.size > KEPT_BYTES:
-                self.known, self.size = {}, 0
-                new = list(set(words))
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            for word, encoding in zip(new, found):
-                ids = self.known[word] = np.array(encoding.ids, "<u4").tobytes()
-                self.size += len(word) + len(ids) + 200
-        return b"".join(map(self.known.__getitem__, words))
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: list[str]) -> None:
+        for k in range(0, len(units), 4096):
+            some = units[k : k + 4096]
+            data = self._encode([" ".join(some)])[0]
+            ends = (4 * np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 4).tolist()
+            if len(ends) != len(some) or ends[-1] != len(data):
+                raise ValueError("a unit is no single word of the tokenizer")
+            self.known.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends))))
+            self.size += len(data) + sum(map(len, some)) + 200 * len(some)
+
+    def _plain(self, text: str) -> bytes:
+        units = _UNIT.findall(text.lower())
+        if self.size > KEPT_BYTES:
+            self.known, self.size = {}, 0
+        self._learn(list(set(units).difference(self.known)))
+        return b"".join(map(self.known.__getitem__, units))
+
+    def __call__(self, text: str) -> bytes:
+        if not self.by_words:
+            return self._encode([text])[0]
+        if not _ODD.search(text) and not any(a in text for a in self.added):
+            return self._plain(text)
+        # Runs of plain words between the words that are tokenized as they are.
+        out = []
+        for odd, run in groupby(_BLANKS.split(text), lambda w: bool(_ODD.search(w)) or any(a in w for a in self.added)):
+            out += self._encode(list(run)) if odd else [self._plain(" ".join(run))]
+        return b"".join(out)
 
 
 class Window:
@@ -203,7 +249,7 @@ def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         for batch in batches:
             schema = schema or pa.schema([("doc_id", batch.schema.field(0).type), *[(c, pa.int64()) for c in ("start", "length")], ("ids", pa.binary()), *[(c, pa.int64()) for c in ("doc_tokens", "sequence_id", "offset")]])
             for doc, body in zip(batch.column(0), batch.column(1)):
-                ids = words((body.as_py() or "").encode()) + end
+                ids = words(body.as_py() or "") + end
                 packer.add((doc.as_py(), len(ids) // 4), ids)
                 if len(packer.closed) * 4 * capacity >= _EMIT_BYTES:
                     yield emit(schema)
