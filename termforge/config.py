@@ -20,6 +20,11 @@ ACADEMIC = (
     "paper", "data", "dataset", "datasets", "system", "systems", "performance", "steps", "reduces", "using", "based",
     "analysis", "novel", "work", "framework", "introduction", "conclusion",
 )
+#: The shorter list of the annotation side.
+ANNOTATION_ACADEMIC = (
+    "model", "models", "method", "methods", "result", "results", "study", "studies", "approach", "approaches",
+    "propose", "proposed", "demonstrate", "demonstrates", "show", "shows", "analysis", "framework", "introduction", "conclusion",
+)
 DOMAIN_GENERIC = ("system", "performance", "data", "dataset", "datasets", "paper", "papers", "task", "tasks", "general", "improve", "improves", "using", "based")
 GENERIC_SCIENCE = (
     "temperature", "pressure", "reaction", "reactions", "adsorption", "uptake", "catalyst", "catalysts", "membrane",
@@ -27,8 +32,19 @@ GENERIC_SCIENCE = (
     "process", "processes", "material", "materials", "energy",
 )
 BANNED_TERMS = ("model", "predict", "prediction", "steps", "reduces", "method", "methods", "results", "study", "approach", "propose", "show", "data", "system")
-ACTIONS = ("literal", "domain_steered", "process_framing", "educator")
-FALLBACK_REASONS = ("no_key", "timeout", "api_error", "filter_empty", "other")
+# English function words, without content of their own.
+FUNCTION_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "also", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "could", "did", "do", "does",
+    "doing", "down", "during", "each", "either", "else", "ever", "every", "few", "for", "from", "further", "had", "has", "have",
+    "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "however", "i", "if", "in", "into",
+    "is", "it", "its", "itself", "just", "may", "me", "might", "more", "most", "much", "must", "my", "myself", "neither",
+    "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "others", "our", "ours", "ourselves",
+    "out", "over", "own", "perhaps", "rather", "same", "shall", "she", "should", "since", "so", "some", "such", "than", "that",
+    "the", "their", "theirs", "them", "themselves", "then", "there", "these", "they", "this", "those", "though", "through", "thus", "to",
+    "too", "under", "until", "up", "upon", "us", "very", "was", "we", "were", "what", "when", "where", "whether", "which",
+    "while", "who", "whom", "whose", "why", "will", "with", "within", "without", "would", "yet", "you", "your", "yours",
+)
 
 
 @dataclass(frozen=True)

@@ -131,10 +131,18 @@ def fallback_reason(reasons) -> Column:
     return F.get(F.filter(words(*FALLBACK_REASONS), lambda r: F.array_contains(T.col(reasons), r)), F.lit(0))
 
 
-def provider_error(c) -> Column:
-    low = F.lower(F.coalesce(T.col(c), F.lit("")))
-    limited = low.contains("429") | low.contains("resource_exhausted")
-    return F.when(limited, "rate_limited").when(low.contains("timeout") | low.contains("timed out"), "timeout").otherwise("api_error")
+def provider_error(c, configured: Column | None = None) -> Column:
+    """The fallback reason of a provider's error message: quota is api_error, and all that is neither quota nor time is other.
+
+    ``configured`` is false for a provider that isn't set up: no_key if the message says so, else api_error.
+    """
+    t = F.coalesce(T.col(c), F.lit(""))
+    low = F.lower(t)
+    quota = t.contains("429") | t.contains("RESOURCE_EXHAUSTED")
+    known = F.when(quota, "api_error").when(low.contains("timeout") | low.contains("timed out"), "timeout").otherwise("other")
+    if configured is None:
+        return known
+    return F.when(configured, known).otherwise(F.when(low.contains("api_key") | low.contains("not configured"), "no_key").otherwise("api_error"))
 
 
 def fallback_translation(c, tgt) -> Column:

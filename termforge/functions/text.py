@@ -8,7 +8,9 @@ from .. import config
 
 TOKEN = r"[A-Za-z][A-Za-z0-9\-_/]*"
 TOKEN_PAREN = r"[A-Za-z][A-Za-z0-9\-_/()]*"
-TECH = r"SE\(3\)[A-Za-z\-]*|[A-Za-z]-space|Fourier|DFT"
+# Forms that are terms whatever their words.
+TECH = r"\b[A-Za-z]{1,4}\(\d+(?:,\d+)*\)-[A-Za-z]+(?:-[A-Za-z]+)*\b|\b[kK]-[sS][pP][aA][cC][eE]\b"
+SPECIAL = r"(?i)SE\(3\)-equivariant|SE\(3\)|inverse Fourier transform|Fourier|\bDFT\b"
 
 
 def col(c: str | Column) -> Column:

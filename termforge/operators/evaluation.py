@@ -145,11 +145,49 @@ def best_per_text(candidates: DataFrame, k: int) -> DataFrame:
     return top.select("case_id", F.posexplode("a").alias("rank", "x")).select("case_id", (F.col("rank") + 1).cast("int").alias("rank"), "x.text", (-F.col("x.s")).alias("score"))
 
 
-def diagnosis(results: DataFrame) -> DataFrame:
-    """One row over connector results (status, waf): what to conclude."""
-    has = lambda code: F.coalesce(F.bool_or(F.col("status") == code), F.lit(False))
-    r = results.agg(has(200).alias("ok"), has(403).alias("forbidden"), has(401).alias("unauthorized"), F.coalesce(F.bool_or("waf"), F.lit(False)).alias("waf"))
-    return r.withColumn("conclusion", F.when(F.col("ok"), "reachable").when(F.col("waf"), "blocked_by_waf").when(F.col("unauthorized"), "needs_credentials").when(F.col("forbidden"), "forbidden").otherwise("unreachable"))
+# What a diagnosis says, and words of a page that asks for a login.
+CONCLUSIONS = (
+    "Likely needs auth",
+    "Likely WAF block",
+    "Likely platform-side block or API access policy",
+    "Endpoint reachable; likely client header/flow issue in failing mode",
+    "Likely endpoint/param change (non-JSON API behavior)",
+    "Inconclusive; check network/proxy and endpoint documentation",
+)
+AUTH_HINTS = ("unauthorized", "forbidden", "login", "authentication")
+WAF_BODY = ("attention required", "cloudflare", "captcha", "challenge")
+
+
+def waf_block(body, content_type, cf_ray: Column | None = None, cf_cache: Column | None = None, server: Column | None = None) -> Column:
+    """Whether a response looks like a firewall's: its headers, words of its body, or HTML where JSON was asked for."""
+    none = F.lit(None).cast("string")
+    headers = (none if cf_ray is None else cf_ray).isNotNull() | (none if cf_cache is None else cf_cache).isNotNull() | F.coalesce(F.lower(none if server is None else server).contains("cloudflare"), F.lit(False))
+    return headers | T.contains_any(body, WAF_BODY) | F.coalesce(F.lower(T.col(content_type)).contains("text/html"), F.lit(False))
+
+
+def diagnosis(results: DataFrame, *by: str) -> DataFrame:
+    """A row for each group: what connector results (status, waf, body, content_type, warm_up, cookies) say.
+
+    In this order: a warm-up that got 200 and cookies, a 403 with a firewall's marks, a 401 or a page that asks for a
+    login without them, a 403 without any 200, a 200, HTML.  Columns that are missing count as empty.
+    """
+    default = {"waf": F.lit(False), "body": F.lit(""), "content_type": F.lit(""), "warm_up": F.lit(False), "cookies": F.lit(0)}
+    r = results.withColumns({c: v for c, v in default.items() if c not in results.columns})
+    has = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    waf = F.coalesce("waf", F.lit(False))
+    seen = r.groupBy(*by).agg(
+        has(F.col("status") == 200).alias("ok"),
+        has(F.col("status") == 403).alias("forbidden"),
+        has(F.col("status") == 401).alias("unauthorized"),
+        has(waf).alias("waf"),
+        has(T.contains_any("body", AUTH_HINTS) & ~waf).alias("asks_login"),
+        has(F.col("warm_up") & (F.col("status") == 200) & (F.col("cookies") > 0)).alias("warm"),
+        has(F.lower("content_type").contains("text/html")).alias("html"),
+    )
+    auth, firewall, policy, reachable, changed, unclear = map(F.lit, CONCLUSIONS)
+    ok, forbidden = F.col("ok"), F.col("forbidden")
+    said = F.when(F.col("warm"), auth).when(forbidden & F.col("waf"), firewall).when(F.col("unauthorized") | F.col("asks_login"), auth).when(forbidden & ~ok, policy).when(ok, reachable).when(F.col("html"), changed).otherwise(unclear)
+    return seen.withColumn("conclusion", said)
 
 
 def accuracy_and_macro_f1(pred: DataFrame, label: str = "label", guess: str = "prediction") -> tuple[DataFrame, DataFrame]:

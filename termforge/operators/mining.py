@@ -127,17 +127,22 @@ def add_one_log_odds(tokens: DataFrame, least: int = 5) -> DataFrame:
     return g.where(F.col("ct") >= least).select("domain", "term", "c", F.log(inside / outside).alias("log_odds"))
 
 
-def mean_tfidf(docs: DataFrame, min_df: int = 2) -> DataFrame:
-    """(domain, term, tfidf_mean): smooth idf, rows of unit length, mean over the domain's documents."""
-    toks = docs.where("text is not null").select("doc_id", F.col("lang").alias("domain"), F.explode_outer(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_][a-z0-9_]+"), F.lit(0))).alias("term")).where("term is not null")
+def mean_tfidf(docs: DataFrame, min_df: int = 2, stop=config.FUNCTION_WORDS) -> DataFrame:
+    """(domain, term, tfidf_mean): words of two characters or more that are no stop words, smooth idf, rows of unit length,
+    mean over the domain's documents."""
+    own = docs.where("text is not null")
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    toks = own.select("doc_id", F.col("lang").alias("domain"), F.explode_outer(words).alias("term")).where("term is not null")
     tf = toks.groupBy("doc_id", "domain", "term").agg(F.count("*").alias("tf"))
-    n = docs.where("text is not null").agg(F.count("*").alias("n"))
+    n = own.agg(F.count("*").alias("n"))
     df = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).join(F.broadcast(n), how="cross")
     idf = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    per = docs.where("text is not null").groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("docs"))
-    s = w.join(norm, "doc_id").groupBy("domain", "term").agg(F.sum(F.col("w") / F.col("norm")).alias("s"))
+    # A document's weights come together once, so its norm needs no join.
+    row = w.groupBy("doc_id", "domain").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("x"))
+    per = own.groupBy(F.col("lang").alias("domain")).agg(F.count("*").alias("docs"))
+    s = row.select("domain", "norm", F.explode("x").alias("x")).groupBy("domain", F.col("x.term").alias("term")).agg(F.sum(F.col("x.w") / F.col("norm")).alias("s"))
     return s.join(F.broadcast(per), "domain").select("domain", "term", (F.col("s") / F.col("docs")).alias("tfidf_mean"))
 
 

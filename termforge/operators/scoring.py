@@ -29,10 +29,10 @@ def term_scores(stats: DataFrame, lexicon: DataFrame, src: str, tgt: str, p: con
     fam = F.when(F.col("tz") != 0, T.sigmoid(F.col("tz") / 2)).when(in_t, F.lit(0.6)).otherwise(F.lit(0.1))
     own = F.when((F.col("sz") == 0) & in_s, F.lit(0.8)).otherwise(F.col("sz"))
     dist = T.sigmoid((own - F.coalesce("oz", F.lit(0.0))) / 2)
-    j = j.select("term", F.round(fam, 4).alias("familiarity"), F.round(dist, 4).alias("distinctiveness"))
-    low, high = F.col("familiarity") < p.tgt_threshold, F.col("distinctiveness") > p.src_threshold
-    reason = F.concat_ws("+", F.when(high, "high_src_distinctiveness"), F.when(low, "low_tgt_familiarity"))
-    return j.withColumns({"flagged": low & high, "reason": F.when(low & high, reason).otherwise("not_flagged")})
+    j = j.select("term", F.round(fam, 4).alias("familiarity"), F.round(dist, 4).alias("distinctiveness"), fam.alias("_fam"), dist.alias("_dist"))
+    low, high = F.col("_fam") <= p.tgt_threshold, F.col("_dist") >= p.src_threshold
+    reason = F.concat_ws("+", F.when(high, "src_distinctive"), F.when(low, "low_tgt_familiarity"))
+    return j.withColumns({"flagged": low & high, "reason": F.when(reason == "", "not_flagged").otherwise(reason)}).drop("_fam", "_dist")
 
 
 def analog_pairs(terms: DataFrame, pool: DataFrame, least: float, k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import terms as S, text as T
-from ..operators import classifier, evaluation, mining, scoring, strategy
+from ..operators import classifier, evaluation, keyphrases, mining, scoring, spans, strategy
 from . import logs, queries as Q
 from .queries import docs, query, r6, tab
 
@@ -45,9 +45,11 @@ def best_texts(spark, d):
 
 @query
 def connector_diagnosis(spark, d):
-    """What the statuses of each event type, taken for a connector's, say."""
-    e = tab(spark, d, "events").select("event_type", F.when(F.col("user_id") % 3 == 0, 403).when(F.col("user_id") % 7 == 0, 401).otherwise(F.when(F.col("event_type") == "click", 200).otherwise(500)).alias("status"), F.lit(False).alias("waf"))
-    return evaluation.diagnosis(e)
+    """What the pages of each host say, taken for a connector's answers: an empty page for a 403, any other for a 200."""
+    p = tab(spark, d, "pages").select(F.lower(F.regexp_extract("url", "^[^:]*://([^/?#]*)", 1)).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    body = T.preview("html")
+    r = p.select("host", F.when(F.length(F.trim("html")) == 0, 403).otherwise(200).alias("status"), body.alias("body"), evaluation.waf_block(body, F.lit("application/json")).alias("waf"))
+    return evaluation.diagnosis(r, "host").drop("warm", "html")
 
 
 @query
@@ -137,8 +139,10 @@ def fallback_reasons(spark, d):
 
 @query
 def provider_errors(spark, d):
-    t = F.element_at(S.words("429 Too Many Requests", "RESOURCE_EXHAUSTED", "Timeout after 45 s", "request timed out", "bad gateway"), (F.col("event_id") % 5 + 1).cast("int"))
-    return tab(spark, d, "events").groupBy(S.provider_error(t).alias("kind")).agg(F.count("*").alias("n"))
+    """The fallback reason of every page's preview, taken for a provider's message, if the provider is set up and if it isn't."""
+    body = T.preview("html")
+    p = tab(spark, d, "pages").select(S.provider_error(body).alias("kind"), S.provider_error(body, F.lit(False)).alias("not_set_up"))
+    return p.groupBy("kind", "not_set_up").agg(F.count("*").alias("n"))
 
 
 @query
@@ -238,11 +242,29 @@ def phrase_occurrences(spark, d):
     return strategy.phrase_spans(tab(spark, d, "benchmark"), _lexicon(spark, d).withColumnRenamed("term", "phrase"), "item_id")
 
 
+@query
+def keyphrases_of_documents(spark, d):
+    """The keyphrases of every document, with their places."""
+    return keyphrases.text_keyphrases(docs(spark, d)).withColumn("weight", r6("weight"))
+
+
+@query
+def keyphrase_filter(spark, d):
+    """The filter of keyphrases over all trigrams of the benchmark."""
+    return Q._trigrams(spark, d).select("item_id", "term", keyphrases.good_phrase("term").alias("ok"))
+
+
+@query
+def spans_of_documents(spark, d):
+    """The twelve best term spans of every document."""
+    return spans.extract_terms(docs(spark, d))
+
+
 @query
 def annotate_texts(spark, d):
-    """Benchmark texts annotated as one transform: English terms explained for French readers."""
+    """Every document annotated as one transform: English terms explained for French readers."""
     stats = mining.mined(docs(spark, d), Q.P).select("domain", "term", r6("z").alias("z"))
-    return strategy.annotate(tab(spark, d, "benchmark"), mining.top_by(stats, "z", 300).select("domain", "term"), stats, "en", "fr", key="item_id")
+    return strategy.annotate(docs(spark, d), mining.top_by(stats, "z", 300).select("domain", "term"), stats, "en", "fr", key="doc_id")
 
 
 @query

@@ -1,5 +1,6 @@
 """SQL of the further queries, for DuckDB; lists and patterns are written out here, so that they check those of the library."""
 
+from .. import config
 from .logs import SQL as LOG
 
 _TOK = "regexp_extract_all(lower({}), '[a-z][a-z0-9\\-_/]*')"
@@ -71,10 +72,13 @@ ORACLES["best_texts"] = LOG + """
 , b AS (SELECT case_id, text, max(domain) AS score FROM cand GROUP BY case_id, text)
 SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, text) AS INTEGER) AS rank, text, score FROM b QUALIFY rank <= 2
 """
-ORACLES["connector_diagnosis"] = """
-WITH s AS (SELECT CASE WHEN user_id % 3 = 0 THEN 403 WHEN user_id % 7 = 0 THEN 401 WHEN event_type = 'click' THEN 200 ELSE 500 END AS status FROM events)
-SELECT bool_or(status = 200) AS ok, bool_or(status = 403) AS forbidden, bool_or(status = 401) AS unauthorized, false AS waf,
-  CASE WHEN bool_or(status = 200) THEN 'reachable' WHEN bool_or(status = 401) THEN 'needs_credentials' WHEN bool_or(status = 403) THEN 'forbidden' ELSE 'unreachable' END AS conclusion FROM s
+ORACLES["connector_diagnosis"] = r"""
+WITH p AS (SELECT lower(regexp_extract(url, '^[^:]*://([^/?#]*)', 1)) AS host, coalesce(html, '') AS html FROM pages), t AS (SELECT host, html, trim(regexp_replace(html, '\s+', ' ', 'g')) AS b FROM p),
+r AS (SELECT host, trim(html) = '' AS empty, lower(CASE WHEN length(b) > 300 THEN substr(b, 1, 300) || '...' ELSE b END) AS l FROM t),
+w AS (SELECT *, regexp_matches(l, 'attention required|cloudflare|captcha|challenge') AS waf FROM r),
+g AS (SELECT host, bool_or(NOT empty) AS ok, bool_or(empty) AS forbidden, false AS unauthorized, bool_or(waf) AS waf, bool_or(NOT waf AND regexp_matches(l, 'unauthorized|forbidden|login|authentication')) AS asks_login FROM w GROUP BY host)
+SELECT *, CASE WHEN forbidden AND waf THEN 'Likely WAF block' WHEN asks_login THEN 'Likely needs auth' WHEN forbidden AND NOT ok THEN 'Likely platform-side block or API access policy'
+  ELSE 'Endpoint reachable; likely client header/flow issue in failing mode' END AS conclusion FROM g
 """
 _WORDS = "SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(text, '\\s+')) AS term FROM benchmark) WHERE term <> ''"
 _NORM = "regexp_replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), '[^a-z0-9\\-_/ ]+', '', 'g')"
@@ -121,9 +125,14 @@ ORACLES["fallback_reasons"] = """
 WITH r AS (SELECT user_id, (['other', 'filter_empty', 'api_error', 'timeout', 'no_key'])[event_id % 5 + 1] AS r FROM events WHERE value > 60)
 SELECT user_id, arg_min(r, list_position(['no_key', 'timeout', 'api_error', 'filter_empty', 'other'], r)) AS reason FROM r GROUP BY user_id
 """
-ORACLES["provider_errors"] = """
-WITH t AS (SELECT event_id % 5 AS k FROM events) SELECT CASE WHEN k < 2 THEN 'rate_limited' WHEN k < 4 THEN 'timeout' ELSE 'api_error' END AS kind, count(*) AS n FROM t GROUP BY 1
+ORACLES["provider_errors"] = r"""
+WITH t AS (SELECT trim(regexp_replace(html, '\s+', ' ', 'g')) AS b FROM pages), v AS (SELECT CASE WHEN length(b) > 300 THEN substr(b, 1, 300) || '...' ELSE b END AS t FROM t)
+SELECT CASE WHEN contains(t, '429') OR contains(t, 'RESOURCE_EXHAUSTED') THEN 'api_error' WHEN regexp_matches(lower(t), 'timeout|timed out') THEN 'timeout' ELSE 'other' END AS kind,
+  CASE WHEN regexp_matches(lower(t), 'api_key|not configured') THEN 'no_key' ELSE 'api_error' END AS not_set_up, count(*) AS n FROM v GROUP BY ALL
 """
+ORACLES["keyphrase_filter"] = "WITH b AS (SELECT item_id, " + _TOK.format("text") + """ AS w FROM benchmark), t AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS term FROM b),
+k AS (SELECT *, regexp_extract_all(term, '[a-z][a-z0-9\\-_/()]*') AS k FROM t)
+SELECT item_id, term, length(trim(term)) >= 3 AND NOT (""" + " OR ".join(f"contains(term, '{x}')" for x in config.DEBUG_TERMS) + ") AND len(list_filter(k, lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in config.ANNOTATION_ACADEMIC + config.DOMAIN_GENERIC + config.DEBUG_TERMS) + "))) > 0 AND len(list_filter(k, lambda x: x IN (" + ", ".join(f"'{w}'" for w in config.VERB_LIKE + config.CONNECTORS) + "))) = 0 AS ok FROM k"
 ORACLES["source_row_fields"] = """
 WITH t AS (
   SELECT page_id, url, CASE page_id % 3 WHEN 0 THEN ['Physical Chemistry', 'Catalysis'] WHEN 1 THEN ['Process Control', 'Energy'] ELSE [] END AS c FROM pages

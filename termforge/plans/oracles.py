@@ -68,7 +68,7 @@ sct AS (SELECT *, sum(c) OVER (PARTITION BY term) AS ct, sum(c) OVER (PARTITION
 lo AS (SELECT domain, term, c, ln(((c + 1) / (nd + v)) / ((ct - c + 1) / (nt - nd + v))) AS log_odds FROM sct, (SELECT sum(c) AS nt, count(DISTINCT term) AS v FROM sc) WHERE ct >= 5)
 """
 _TFIDF = r"""
-tt AS (SELECT doc_id, lang AS domain, unnest(regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_]+')) AS term FROM documents WHERE text IS NOT NULL),
+tt AS (SELECT * FROM (SELECT doc_id, lang AS domain, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM documents WHERE text IS NOT NULL) WHERE term NOT IN """ + _list(config.FUNCTION_WORDS) + r"""),
 tf AS (SELECT doc_id, domain, term, count(*) AS tf FROM tt GROUP BY ALL),
 idf AS (SELECT term, ln((1 + (SELECT count(*) FROM documents WHERE text IS NOT NULL)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term HAVING count(*) >= 2),
 tw AS (SELECT doc_id, domain, tf.term, tf * idf AS w FROM tf JOIN idf ON tf.term = idf.term),
@@ -145,7 +145,10 @@ ORACLES = {
     "phrase_style_topic": f"""WITH {_PHRASES}, g AS (SELECT domain, phrase, n, count(*) AS df FROM ph GROUP BY ALL HAVING count(*) >= 3)
       SELECT domain, phrase, n, df, CASE WHEN len(list_filter(string_split(phrase, ' '), lambda x: x IN {_list(config.GENERIC_SCIENCE)})) >= 2 THEN 'topic' ELSE 'style' END AS kind
       FROM g QUALIFY row_number() OVER (PARTITION BY domain ORDER BY n * 1000000 + df DESC, phrase) <= 30""",
-    "phrase_tech_patterns": r"SELECT m, count(*) AS n FROM (SELECT unnest(regexp_extract_all(CASE WHEN doc_id % 5 = 0 THEN 'A SE(3)-equivariant k-space Fourier DFT ' || text ELSE text END, 'SE\(3\)[A-Za-z\-]*|[A-Za-z]-space|Fourier|DFT')) AS m FROM documents) GROUP BY 1",
+    "phrase_tech_patterns": r"""WITH t AS (SELECT CASE WHEN doc_id % 5 = 0 THEN 'A SE(3)-equivariant and SO(2)-equivariant-net k-space DFT inverse Fourier transform x-space ' || text ELSE text END AS t FROM documents)
+      SELECT kind, m, count(*) AS n FROM (
+        SELECT 'technical' AS kind, unnest(regexp_extract_all(t, '\b[A-Za-z]{1,4}\(\d+(?:,\d+)*\)-[A-Za-z]+(?:-[A-Za-z]+)*\b|\b[kK]-[sS][pP][aA][cC][eE]\b')) AS m FROM t
+        UNION ALL SELECT 'special', unnest(regexp_extract_all(t, '(?i)SE\(3\)-equivariant|SE\(3\)|inverse Fourier transform|Fourier|\bDFT\b')) FROM t) GROUP BY ALL""",
     "phrase_valid": rf"""WITH b AS (SELECT item_id, regexp_extract_all(lower(text), '{_TOK}') AS w FROM benchmark),
       p AS (SELECT DISTINCT item_id, regexp_replace(unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))), '{_PUNCT}', '', 'g') AS phrase FROM b),
       t AS (SELECT *, regexp_extract_all(phrase, '{_TOK}') AS k FROM p)
@@ -159,8 +162,9 @@ ORACLES = {
     "term_score_flags": f"""WITH {_GRID}, l AS (SELECT domain, term FROM m6 QUALIFY row_number() OVER (PARTITION BY domain ORDER BY z DESC, term) <= 50),
       per AS (SELECT term, coalesce(max(CASE WHEN domain = 'fr' THEN z END), 0) AS tz, coalesce(max(CASE WHEN domain = 'en' THEN z END), 0) AS sz, coalesce(max(CASE WHEN domain <> 'en' THEN z END), 0) AS oz FROM m6 GROUP BY term),
       x AS (SELECT per.*, EXISTS (SELECT 1 FROM l WHERE l.term = per.term AND l.domain = 'fr') AS in_t, EXISTS (SELECT 1 FROM l WHERE l.term = per.term AND l.domain = 'en') AS in_s FROM per),
-      f AS (SELECT term, round(CASE WHEN tz <> 0 THEN 1 / (1 + exp(-tz / 2)) WHEN in_t THEN 0.6 ELSE 0.1 END, 4) AS familiarity, round(1 / (1 + exp(-((CASE WHEN sz = 0 AND in_s THEN 0.8 ELSE sz END) - oz) / 2)), 4) AS distinctiveness FROM x)
-      SELECT *, familiarity < 0.45 AND distinctiveness > 0.35 AS flagged, CASE WHEN familiarity < 0.45 AND distinctiveness > 0.35 THEN 'high_src_distinctiveness+low_tgt_familiarity' ELSE 'not_flagged' END AS reason
+      f AS (SELECT term, CASE WHEN tz <> 0 THEN 1 / (1 + exp(-tz / 2)) WHEN in_t THEN 0.6 ELSE 0.1 END AS fam, 1 / (1 + exp(-((CASE WHEN sz = 0 AND in_s THEN 0.8 ELSE sz END) - oz) / 2)) AS dist FROM x)
+      SELECT term, round(fam, 4) AS familiarity, round(dist, 4) AS distinctiveness, fam <= 0.45 AND dist >= 0.35 AS flagged,
+        CASE WHEN fam <= 0.45 AND dist >= 0.35 THEN 'src_distinctive+low_tgt_familiarity' WHEN dist >= 0.35 THEN 'src_distinctive' WHEN fam <= 0.45 THEN 'low_tgt_familiarity' ELSE 'not_flagged' END AS reason
       FROM f ORDER BY flagged DESC, distinctiveness DESC, familiarity, term LIMIT 200""",
     "term_strategy_class": f"WITH {_GRID}, {_KIND} SELECT * FROM kinds",
     "strategy_penalty": f"WITH {_GRID}, {_KIND} SELECT doc_id, round(least(0.35, sum(CASE kind WHEN 'unique' THEN 0.08::DOUBLE WHEN 'intranslatable' THEN 0.1::DOUBLE ELSE 0 END)), 6) AS penalty FROM tok JOIN kinds USING (term) WHERE domain = 'fr' GROUP BY 1",
@@ -208,7 +212,8 @@ ORACLES = {
     "feedback_upsert": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1",
     "stagnation_islands": "WITH e AS (SELECT user_id, CAST(value > 60 AS INTEGER) AS hi, sum(CAST(value > 60 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM events), r AS (SELECT user_id, g, count(*) AS n FROM e WHERE hi = 0 GROUP BY ALL) SELECT user_id, max(n) AS longest FROM r GROUP BY 1",
     "time_slices": "SELECT strftime(time_bucket(INTERVAL '7 days', ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d') AS slice, event_type, count(*) AS n FROM events GROUP BY ALL",
-    "page_diagnostics": r"WITH p AS (SELECT page_id, trim(regexp_replace(html, '\s+', ' ', 'g')) AS b, lower(html) AS l FROM pages) SELECT page_id, CASE WHEN length(b) > 300 THEN 303 ELSE length(b) END AS n_preview, starts_with(l, '<!doctype html') AS is_html, contains(l, 'nav') AS has_nav, regexp_matches(l, 'captcha|cloudflare') AS waf FROM p",
+    "page_diagnostics": r"""WITH p AS (SELECT page_id, trim(regexp_replace(html, '\s+', ' ', 'g')) AS b, lower(html) AS l FROM pages), v AS (SELECT *, CASE WHEN length(b) > 300 THEN substr(b, 1, 300) || '...' ELSE b END AS t FROM p)
+      SELECT page_id, length(t) AS n_preview, starts_with(l, '<!doctype html') AS is_html, contains(l, 'nav') AS has_nav, regexp_matches(lower(t), 'attention required|cloudflare|captcha|challenge') AS waf, true AS waf_for_json FROM v""",
     "inverted_index_rebuild": r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM documents",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds FROM events GROUP BY 1",
     "cache_keys": "SELECT doc_id, sha256(doc_id || '|' || lang || '|en|4') AS key FROM documents",

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import text as T
-from ..operators import corpus, mining, scoring
+from ..operators import corpus, evaluation, mining, scoring
 from ..streaming import state
 
 QUERIES: dict = {}
@@ -152,8 +152,11 @@ def phrase_valid(spark, d):
 
 @query
 def phrase_tech_patterns(spark, d):
-    c = docs(spark, d).withColumn("t", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("A SE(3)-equivariant k-space Fourier DFT "), "text")).otherwise(F.col("text")))
-    return c.select("doc_id", F.explode(F.regexp_extract_all("t", F.lit(T.TECH), F.lit(0))).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    """Technical forms of annotation and special terms of strategies, with some put into every fifth document."""
+    c = docs(spark, d).select(F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("A SE(3)-equivariant and SO(2)-equivariant-net k-space DFT inverse Fourier transform x-space "), "text")).otherwise(F.col("text")).alias("t"))
+    found = lambda pattern: F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+    both = [c.select(F.lit(kind).alias("kind"), F.explode(found(pattern)).alias("m")) for kind, pattern in (("technical", T.TECH), ("special", T.SPECIAL))]
+    return both[0].unionByName(both[1]).groupBy("kind", "m").agg(F.count("*").alias("n"))
 
 
 def _trigrams(spark, d):
@@ -429,9 +432,10 @@ def time_slices(spark, d):
 
 @query
 def page_diagnostics(spark, d):
+    """Preview and marks of a firewall of every page, taken for the answer of a service that gives JSON, and for one that gives pages."""
     p = tab(spark, d, "pages")
-    low = F.lower("html")
-    return p.select("page_id", F.length(T.preview("html")).cast("long").alias("n_preview"), low.startswith("<!doctype html").alias("is_html"), low.contains("nav").alias("has_nav"), low.rlike("captcha|cloudflare").alias("waf"))
+    low, body = F.lower("html"), T.preview("html")
+    return p.select("page_id", F.length(body).cast("long").alias("n_preview"), low.startswith("<!doctype html").alias("is_html"), low.contains("nav").alias("has_nav"), evaluation.waf_block(body, F.lit("application/json")).alias("waf"), evaluation.waf_block(body, F.lit("text/html; charset=utf-8")).alias("waf_for_json"))
 
 
 @query
