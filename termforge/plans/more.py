@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions import terms as S, text as T
-from ..operators import classifier, evaluation, keyphrases, mining, scoring, spans, strategy
+from ..operators import classifier, corpus, evaluation, features, keyphrases, mining, scoring, spans, strategy
 from . import logs, queries as Q
 from .queries import docs, query, r6, tab
 
@@ -267,15 +267,35 @@ def annotate_texts(spark, d):
     return strategy.annotate(docs(spark, d), mining.top_by(stats, "z", 300).select("domain", "term"), stats, "en", "fr", key="doc_id")
 
 
+def _labelled(spark, d):
+    """(training rows, held-out rows): documents and their language as the label, a fifth of each language held out."""
+    c = docs(spark, d).where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").alias("label"))
+    both = corpus.stratified_split(c, "label", "doc_id", 0.2, 42)
+    return both.where(~F.col("is_val")).drop("is_val"), both.where("is_val").drop("is_val")
+
+
+@query
+def tfidf_features(spark, d):
+    """The word and character weights of every document, as counts and sums of each kind."""
+    c = docs(spark, d).where("text is not null")
+    f = features.Features.fit(c, key="doc_id", text="text", characters=True, min_df=3, max_df=0.7)
+    each = f.weights(c, key="doc_id", text="text").select(F.col("key").alias("doc_id"), F.explode("features").alias("x"))
+    return each.groupBy("doc_id", F.col("x.kind").alias("kind")).agg(F.count("*").alias("n"), r6(F.sum("x.weight")).alias("total"), r6(F.max("x.weight")).alias("largest"))
+
+
 @query
 def clf_detect_language(spark, d):
-    """Held-out documents with their language as the trained classifier sees it: probability, lead and reason of doubt."""
-    c = docs(spark, d).where("lang is not null and text is not null").select("doc_id", F.substring("text", 1, 1 << 30).alias("text"), F.col("lang").alias("label"))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
-    model = classifier.fit(c.where(~held), characters=False, max_iter=20)
-    best = classifier.best_label("probs")
-    p = classifier.probabilities(model, c.where(held), characters=False).withColumn("b", best)
-    words = F.size(F.split(F.trim("text"), r"\s+"))
-    det = config.Detection()
-    reason = F.when(words < det.min_words, "too_short").when(F.col("b.p") < det.min_confidence, "low_confidence").when(F.col("b.gap") < det.min_gap, "small_gap").otherwise("none")
-    return p.select("doc_id", "label", F.col("b.label").alias("predicted"), F.col("b.p").alias("confidence"), F.col("b.gap").alias("gap"), reason.alias("reason"))
+    """Held-out documents with their language as the calibrated classifier sees it: probability, lead and reason of doubt."""
+    train, held = _labelled(spark, d)
+    model = classifier.fit(train, folds=3, max_iter=100)
+    return classifier.detect(model, held).select("doc_id", "label", "predicted", "confidence", "gap", "reason", "is_ambiguous")
+
+
+@query
+def clf_joint_class(spark, d):
+    """Held-out documents by a baseline of words alone, one language standing for two domains that hint words tell apart."""
+    train, held = _labelled(spark, d)
+    domain = lambda c: F.when(F.col(c) == "en", "CSM").when(F.col(c) == "fr", "PM").when(F.col(c) == "de", "CHEM").otherwise("CCE")
+    model = classifier.fit(train.withColumn("label", domain("label")), characters=False, max_iter=100)
+    out = classifier.detect(model, held, joint=("CCE", "CHEM", "CHEME"), domains=("CSM", "PM", "CHEM", "CHEME"))
+    return out.select("doc_id", "predicted", "confidence", "gap", "reason", *[F.element_at("probs", F.lit(x)).alias("p_" + x.lower()) for x in ("CSM", "PM", "CHEM", "CHEME")])

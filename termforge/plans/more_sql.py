@@ -173,3 +173,20 @@ SELECT DISTINCT term FROM (SELECT unnest(['model', 'models', 'method', 'methods'
   'introduction', 'conclusion', 'papers', 'task', 'tasks', 'general', 'improve', 'improves', 'temperature', 'pressure', 'reaction', 'reactions', 'adsorption', 'uptake', 'catalyst', 'catalysts', 'membrane', 'membranes',
   'sample', 'samples', 'experiment', 'experiments', 'effect', 'effects', 'increase', 'decrease', 'process', 'processes', 'material', 'materials', 'energy']) AS term)
 """
+
+ORACLES["tfidf_features"] = r"""
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') AS w FROM d),
+g AS (
+  SELECT doc_id, 'w' AS kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+  UNION ALL
+  SELECT doc_id, 'c', unnest(list_concat(
+    list_transform(range(1, greatest(length(p) - 1, 2)), lambda i: p[i:i + 2]),
+    CASE WHEN length(p) > 3 THEN list_transform(range(1, length(p) - 2), lambda i: p[i:i + 3]) ELSE [] END,
+    CASE WHEN length(p) > 4 THEN list_transform(range(1, length(p) - 3), lambda i: p[i:i + 4]) ELSE [] END))
+  FROM (SELECT doc_id, ' ' || unnest(string_split_regex(trim(regexp_replace(t, '\s+', ' ', 'g')), ' ')) || ' ' AS p FROM d WHERE trim(t) <> '')
+), tf AS (SELECT doc_id, kind, f, count(*) AS tf FROM g GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM d),
+v AS (SELECT kind, f, ln((1.0::DOUBLE + any_value(n)) / (1 + count(*))) + 1 AS idf FROM tf, n GROUP BY kind, f HAVING count(*) >= 3 AND (kind = 'c' OR count(*) <= 0.7::DOUBLE * any_value(n))),
+x AS (SELECT doc_id, kind, (1 + ln(tf)) * idf AS x FROM tf JOIN v USING (kind, f))
+SELECT doc_id, kind, count(*) AS n, round(sum(x) / sqrt(sum(x * x)), 6) AS total, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM x GROUP BY ALL
+"""

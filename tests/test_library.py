@@ -186,10 +186,10 @@ def test_classifier_learns_saves_and_calibrates(spark, tmp_path):
     vocab = {"a": ["reactor", "column", "reflux"], "b": ["graph", "matrix", "kernel"], "c": ["ligand", "bond", "orbital"]}
     rows = [(i, " ".join(r.choices(vocab[k], k=8)), k) for i, k in enumerate("abc" * 30)]
     d = spark.createDataFrame(rows, "doc_id long, text string, label string")
-    model = classifier.fit(d, min_df=1, max_iter=15, vocabulary=4096)
+    model = classifier.fit(d, min_df=1, max_iter=15)
     classifier.save(model, str(tmp_path / "m"))
     p = classifier.probabilities(classifier.load(str(tmp_path / "m")), d)
     assert p.select(classifier.best_label("probs")["label"].alias("x"), "label").where("x = label").count() == 90
-    cal = classifier.calibrated(d, d, characters=False, min_df=1, max_iter=15, vocabulary=4096)
+    cal = classifier.calibrated(d, d, characters=False, min_df=1, max_iter=15)
     q = cal.select(F.aggregate(F.map_values("probs"), F.lit(0.0), lambda a, x: a + x).alias("x"), classifier.probability_of("probs", F.lit("none")).alias("y")).collect()
     assert len(q) == 90 and all(abs(x["x"] - 1) < 1e-9 and x["y"] == 0 for x in q)
