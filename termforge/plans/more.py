@@ -287,7 +287,7 @@ def tfidf_features(spark, d):
 def clf_detect_language(spark, d):
     """Held-out documents with their language as the calibrated classifier sees it: probability, lead and reason of doubt."""
     train, held = _labelled(spark, d)
-    model = classifier.fit(train, folds=3, max_iter=100)
+    model = classifier.fit(train, folds=3, max_iter=20)
     return classifier.detect(model, held).select("doc_id", "label", "predicted", "confidence", "gap", "reason", "is_ambiguous")
 
 
@@ -296,6 +296,6 @@ def clf_joint_class(spark, d):
     """Held-out documents by a baseline of words alone, one language standing for two domains that hint words tell apart."""
     train, held = _labelled(spark, d)
     domain = lambda c: F.when(F.col(c) == "en", "CSM").when(F.col(c) == "fr", "PM").when(F.col(c) == "de", "CHEM").otherwise("CCE")
-    model = classifier.fit(train.withColumn("label", domain("label")), characters=False, max_iter=100)
+    model = classifier.fit(train.withColumn("label", domain("label")), characters=False, max_iter=20)
     out = classifier.detect(model, held, joint=("CCE", "CHEM", "CHEME"), domains=("CSM", "PM", "CHEM", "CHEME"))
     return out.select("doc_id", "predicted", "confidence", "gap", "reason", *[F.element_at("probs", F.lit(x)).alias("p_" + x.lower()) for x in ("CSM", "PM", "CHEM", "CHEME")])

@@ -175,9 +175,12 @@ SELECT DISTINCT term FROM (SELECT unnest(['model', 'models', 'method', 'methods'
 """
 
 ORACLES["tfidf_features"] = r"""
-WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, regexp_extract_all(t, '[\p{L}\p{N}_]{2,}') AS w FROM d),
+WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]{2,}')) AS w, unnest(range(len(regexp_extract_all(t, '[\p{L}\p{N}_]{2,}')))) AS i FROM d),
+b AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM w),
 g AS (
-  SELECT doc_id, 'w' AS kind, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w
+  SELECT doc_id, 'w' AS kind, w AS f FROM w
+  UNION ALL
+  SELECT doc_id, 'w', w || ' ' || y FROM b WHERE y IS NOT NULL
   UNION ALL
   SELECT doc_id, 'c', unnest(list_concat(
     list_transform(range(1, greatest(length(p) - 1, 2)), lambda i: p[i:i + 2]),
