@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import terms as S, text as T
-from ..operators import classifier, corpus, evaluation, features, keyphrases, mining, scoring, spans, strategy
+from ..operators import classifier, corpus, evaluation, evidence, features, keyphrases, lexicon, mining, scoring, spans, strategy
+from ..streaming import state
 from . import logs, queries as Q
 from .queries import docs, query, r6, tab
 
@@ -184,23 +186,19 @@ def lexicon_coverage(spark, d):
 
 @query
 def action_slots(spark, d):
-    """Slots of actions for the numbers of candidates asked for; further slots go to the last."""
-    out = None
-    for k in range(1, 7):
-        one = spark.range(1).select(F.lit(k).alias("k"), F.posexplode(S.action_slots(k, F.lit(S.ACTIONS[-1]))).alias("slot", "action"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The slots of every conversation, one for each of its turns; slots beyond the actions go to the last."""
+    c = tab(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").cast("int").alias("k"))
+    first = F.slice(S.words(*S.ACTIONS), F.lit(1), F.least("k", F.lit(len(S.ACTIONS))))
+    further = F.array_repeat(F.lit(S.ACTIONS[-1]), F.greatest(F.col("k") - len(S.ACTIONS), F.lit(0)))
+    return c.select("conv_id", "k", F.posexplode(F.concat(first, further)).alias("slot", "action"))
 
 
 @query
 def stoplist_union(spark, d):
-    """Terms of the stop lists, each once."""
-    lists = {"academic": config.ACADEMIC, "generic": config.DOMAIN_GENERIC, "science": config.GENERIC_SCIENCE}
-    out = None
-    for words in lists.values():
-        one = spark.range(1).select(F.explode(S.words(*words)).alias("term"))
-        out = one if out is None else out.union(one)
-    return out.distinct()
+    """Words of three sources, each once: those of the benchmark, of conversations, and the stop lists that occur in neither."""
+    own = [tab(spark, d, t).select(F.explode(T.tokens("text")).alias("term")) for t in ("benchmark", "conversations")]
+    lists = spark.createDataFrame([(w,) for w in config.ACADEMIC + config.DOMAIN_GENERIC + config.GENERIC_SCIENCE], "term string")
+    return corpus.union_distinct([*own, lists])
 
 
 @query
@@ -299,3 +297,45 @@ def clf_joint_class(spark, d):
     model = classifier.fit(train.withColumn("label", domain("label")), characters=False, max_iter=20)
     out = classifier.detect(model, held, joint=("CCE", "CHEM", "CHEME"), domains=("CSM", "PM", "CHEM", "CHEME"))
     return out.select("doc_id", "predicted", "confidence", "gap", "reason", *[F.element_at("probs", F.lit(x)).alias("p_" + x.lower()) for x in ("CSM", "PM", "CHEM", "CHEME")])
+
+
+@query
+def lexicon_sections(spark, d):
+    """The style, topic, bigram and trigram lists of every domain."""
+    stats = mining.mined(docs(spark, d), Q.P).select("domain", "term", r6("z").alias("z"), r6("combined").alias("combined"))
+    return lexicon.sections(stats, Q.P.top_n)
+
+
+@query
+def artifact_gates(spark, d):
+    """All five gates over the mined lexicon, its statistics, and the scores of the hint-word detection."""
+    stats = mining.mined(docs(spark, d), Q.P).select("domain", "term", r6("z").alias("z"), r6("combined").alias("combined"))
+    out = lexicon.gates(lexicon.sections(stats, Q.P.top_n), stats, detection_scores(spark, d))
+    return out.where("gate <> 'macro_f1'").withColumn("value", r6("value"))
+
+
+@query
+def evidence_lookups(spark, d):
+    """The first two entries of evidence for each benchmark word in each language, from an index written as JSON: a document
+    is an entry under its first word, but a bare string, which is passed over, if it holds an odd character."""
+    first = F.lower(F.regexp_extract("text", r"([A-Za-z]+)", 1))
+    x = docs(spark, d).where("text is not null and lang is not null").select(F.concat("lang", F.lit("::"), first).alias("key"), "doc_id", F.col("text").rlike("[#$%&*|]").alias("odd"), F.col("source"))
+    node = F.when(F.col("odd"), F.to_json(F.array("source"))).otherwise(F.to_json(F.array(F.struct(F.lit("").alias("snippet"), F.col("doc_id").cast("string").alias("doc_id"), "source"))))
+    json = x.select(F.concat(F.lit('{"'), "key", F.lit('": '), node, F.lit("}")).alias("value"))
+    index = evidence.evidence_index(json)
+    # Entries of one key come from several documents here: by document, not by place.
+    w = Window.partitionBy("key").orderBy(F.col("hit.doc_id").cast("long"))
+    index = index.withColumn("pos", F.row_number().over(w) - 1)
+    langs = docs(spark, d).where("lang is not null").select("lang").distinct()
+    words = tab(spark, d, "benchmark").select(F.explode(T.tokens("text", "[A-Za-z]+")).alias("word")).distinct().join(F.broadcast(langs), how="cross")
+    asked = words.withColumn("key", F.concat("lang", F.lit("::"), "word"))
+    return strategy.evidence_for(asked, index, "key").select("lang", "word", F.array_join(F.transform("evidence", lambda h: h["doc_id"]), ",").alias("doc_ids"), F.size("evidence").alias("n"))
+
+
+@query
+def bandit_choices(spark, d):
+    """Epsilon-greedy choices for every event of every type as a route, each action earning what the event's number says."""
+    e = tab(spark, d, "events").where("value is not null")
+    reward = lambda k: (F.col("value") * (k + 1)) % 1
+    rewards = F.create_map(*[x for k, a in enumerate(S.ACTIONS) for x in (F.lit(a), reward(k))])
+    return state.bandit_choices(e.select(F.col("user_id").alias("route"), "ts", "event_id", rewards.alias("rewards")), list(S.ACTIONS)).withColumn("reward", r6("reward"))

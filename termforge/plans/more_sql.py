@@ -2,6 +2,7 @@
 
 from .. import config
 from .logs import SQL as LOG
+from .oracles import _GRID, _TOPIC
 
 _TOK = "regexp_extract_all(lower({}), '[a-z][a-z0-9\\-_/]*')"
 _JAC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE ELSE 0.0 END"
@@ -155,9 +156,10 @@ h AS (SELECT doc_id, count(*) AS hits FROM d JOIN lx USING (w) GROUP BY doc_id)
 SELECT d.doc_id, round(coalesce(hits, 0) / greatest((SELECT count(*) FROM lx), 1)::DOUBLE, 6) AS coverage FROM documents d LEFT JOIN h USING (doc_id)
 """
 ORACLES["action_slots"] = """
-WITH k AS (SELECT CAST(k AS INTEGER) AS k, CAST(unnest(range(0, k)) AS INTEGER) AS slot FROM range(1, 7) t(k))
-SELECT k, slot, (['literal', 'domain_steered', 'process_framing', 'educator'])[least(slot + 1, 4)] AS action FROM k
+WITH k AS (SELECT conv_id, CAST(count(*) AS INTEGER) AS k FROM conversations GROUP BY 1), s AS (SELECT conv_id, k, CAST(unnest(range(0, k)) AS INTEGER) AS slot FROM k)
+SELECT conv_id, k, slot, (['literal', 'domain_steered', 'process_framing', 'educator'])[least(slot + 1, 4)] AS action FROM s
 """
+ORACLES["stoplist_union"] = "SELECT unnest(" + _TOK.format("text") + ") AS term FROM benchmark UNION SELECT unnest(" + _TOK.format("text") + ") FROM conversations UNION SELECT unnest([" + ", ".join(f"'{w}'" for w in config.ACADEMIC + config.DOMAIN_GENERIC + config.GENERIC_SCIENCE) + "])"
 ORACLES["case_grid"] = """
 WITH d AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) SELECT a.lang AS src, b.lang AS tgt, item_id FROM d a, d b, benchmark WHERE a.lang <> b.lang
 """
@@ -167,13 +169,6 @@ g AS (SELECT last, CAST(unnest(range(0, (last - first) // 7 + 1)) AS INTEGER) AS
 p AS (SELECT CAST((last - day) // 7 AS INTEGER) AS slice, count(*) AS n FROM e, s GROUP BY 1)
 SELECT g.slice, strftime(last - 7 * g.slice - 6, '%Y-%m-%d') AS "begin", strftime(last - 7 * g.slice, '%Y-%m-%d') AS "end", coalesce(n, 0) AS n FROM g LEFT JOIN p USING (slice)
 """
-ORACLES["stoplist_union"] = """
-SELECT DISTINCT term FROM (SELECT unnest(['model', 'models', 'method', 'methods', 'result', 'results', 'study', 'studies', 'approach', 'approaches', 'propose', 'proposed', 'demonstrate', 'demonstrates',
-  'show', 'shows', 'predict', 'prediction', 'predictions', 'paper', 'data', 'dataset', 'datasets', 'system', 'systems', 'performance', 'steps', 'reduces', 'using', 'based', 'analysis', 'novel', 'work', 'framework',
-  'introduction', 'conclusion', 'papers', 'task', 'tasks', 'general', 'improve', 'improves', 'temperature', 'pressure', 'reaction', 'reactions', 'adsorption', 'uptake', 'catalyst', 'catalysts', 'membrane', 'membranes',
-  'sample', 'samples', 'experiment', 'experiments', 'effect', 'effects', 'increase', 'decrease', 'process', 'processes', 'material', 'materials', 'energy']) AS term)
-"""
-
 ORACLES["tfidf_features"] = r"""
 WITH d AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL), w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]{2,}')) AS w, unnest(range(len(regexp_extract_all(t, '[\p{L}\p{N}_]{2,}')))) AS i FROM d),
 b AS (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS y FROM w),
@@ -193,3 +188,29 @@ v AS (SELECT kind, f, ln((1.0::DOUBLE + any_value(n)) / (1 + count(*))) + 1 AS i
 x AS (SELECT doc_id, kind, (1 + ln(tf)) * idf AS x FROM tf JOIN v USING (kind, f))
 SELECT doc_id, kind, count(*) AS n, round(sum(x) / sqrt(sum(x * x)), 6) AS total, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM x GROUP BY ALL
 """
+_SECTIONS = "WITH " + _GRID + """, k AS (SELECT domain, term, z, round(combined, 6) AS combined, len(string_split(term, ' ')) AS n, """ + _TOPIC + """ AS topic FROM m6),
+sec AS (
+  SELECT domain, 'style' AS section, term, row_number() OVER (PARTITION BY domain ORDER BY n DESC, z DESC, term) AS rank FROM k WHERE NOT topic
+  UNION ALL SELECT domain, 'topic', term, row_number() OVER (PARTITION BY domain ORDER BY combined DESC, term) FROM k WHERE topic
+  UNION ALL SELECT domain, CASE n WHEN 2 THEN 'bigrams' ELSE 'trigrams' END, term, row_number() OVER (PARTITION BY domain, n ORDER BY z DESC, term) FROM k WHERE NOT topic AND n IN (2, 3)
+), lx AS (SELECT domain, section, CAST(rank AS INTEGER) AS rank, term FROM sec WHERE rank <= 300)
+"""
+ORACLES["lexicon_sections"] = _SECTIONS + "SELECT * FROM lx"
+ORACLES["artifact_gates"] = _SECTIONS + """, t AS (
+  SELECT DISTINCT domain, term FROM (SELECT domain, term, row_number() OVER (PARTITION BY domain ORDER BY list_position(['style', 'bigrams', 'trigrams'], section), rank, term) AS k FROM lx WHERE section <> 'topic') WHERE k <= 200
+), doms AS (SELECT DISTINCT domain FROM t), p AS (SELECT a.domain AS a, b.domain AS b FROM doms a JOIN doms b ON a.domain < b.domain),
+o AS (SELECT a, b, (SELECT count(*) FROM t x JOIN t y ON x.term = y.term WHERE x.domain = a AND y.domain = b) / (SELECT count(DISTINCT term) FROM t WHERE domain IN (a, b))::DOUBLE AS v FROM p),
+n AS (SELECT domain, count(*) FILTER (WHERE section = 'style') AS n FROM lx GROUP BY 1),
+w AS (SELECT domain, count(*) FILTER (WHERE term IN (""" + ", ".join(f"'{x}'" for x in config.BANNED_TERMS) + """)) AS n FROM t GROUP BY 1),
+g AS (SELECT count(*) AS n FROM m6 WHERE regexp_matches(term, '(?i)updatedgpt|native=|domain-specific concept'))
+SELECT 'banned' AS gate, domain AS subject, n::DOUBLE AS value, 0::DOUBLE AS "limit", n = 0 AS passed FROM w
+UNION ALL SELECT 'style', domain, n, 30, n >= 30 FROM n
+UNION ALL SELECT 'overlap', a || '-' || b, round(v, 6), 0.25, v <= 0.25 FROM o
+UNION ALL SELECT 'debug_rows', '', n, 0, n = 0 FROM g
+"""
+ORACLES["evidence_lookups"] = r"""
+WITH x AS (SELECT lang, lower(regexp_extract(text, '([A-Za-z]+)', 1)) AS word, doc_id FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL AND NOT regexp_matches(text, '[#$%&*|]')),
+r AS (SELECT lang, word, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS ids, count(*) AS n FROM (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY doc_id) <= 2) GROUP BY ALL),
+w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), l AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+SELECT l.lang, w.word, coalesce(ids, '') AS doc_ids, CAST(coalesce(n, 0) AS INTEGER) AS n FROM w CROSS JOIN l LEFT JOIN r ON r.lang = l.lang AND r.word = w.word
+"""

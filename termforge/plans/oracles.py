@@ -217,7 +217,7 @@ ORACLES = {
     "inverted_index_rebuild": r"SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM documents",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds FROM events GROUP BY 1",
     "cache_keys": "SELECT doc_id, sha256(doc_id || '|' || lang || '|en|4') AS key FROM documents",
-    "temperature_schedule": "SELECT total, step, round(least(1.0, greatest(0.2, CASE WHEN total <= 1 THEN 0.2 ELSE 0.2 + 0.7::DOUBLE * step / greatest(total - 1, 1) END)), 2) AS temperature FROM (SELECT total, unnest(range(0, total)) AS step FROM range(1, 9) t(total))",
+    "temperature_schedule": "SELECT conv_id, total, step, round(least(1.0, greatest(0.2, CASE WHEN total <= 1 THEN 0.2 ELSE 0.2 + 0.7::DOUBLE * step / greatest(total - 1, 1) END)), 2) AS temperature FROM (SELECT conv_id, total, unnest(range(0, total)) AS step FROM (SELECT conv_id, count(*) AS total FROM conversations GROUP BY 1))",
     "policy_guard": "SELECT CASE WHEN contains(lower(text), 'this is') THEN 'banned_phrase' WHEN NOT contains(lower(text), 'th') THEN 'no_marker' ELSE 'ok' END AS verdict, count(*) AS n FROM conversations GROUP BY 1",
     "token_hits_by_nation": "SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity > 30 GROUP BY 1",
 }

@@ -457,8 +457,10 @@ def cache_keys(spark, d):
 
 @query
 def temperature_schedule(spark, d):
-    g = spark.range(1, 9).select(F.col("id").alias("total"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("step"))
-    return g.select("total", "step", T.temperature("step", "total").alias("temperature"))
+    """The temperature of every turn as a step of its conversation."""
+    c = tab(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("total"))
+    g = c.select("conv_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("step"))
+    return g.select("conv_id", "total", "step", T.temperature("step", "total").alias("temperature"))
 
 
 @query

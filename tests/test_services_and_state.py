@@ -348,10 +348,10 @@ def test_rows_move_between_stored_domains(spark, tmp_path):
     read = lambda: sorted(tuple(r) for r in spark.read.parquet(path).select("id", "title", "domain").collect())
     want = [("1", "a", "CHEM"), ("2", "new b", "CHEME"), ("3", "c", "CHEME"), ("4", "d", "CHEME"), ("9", "z", "PM")]
     for _ in range(2):
-        corpus.reassign(found, path, "CHEME", "CHEM")
+        corpus.move_stored(found, path, "CHEME", "CHEM")
         spark.catalog.refreshByPath(path)
         assert read() == want
-    corpus.reassign(spark.createDataFrame([("1", "n")], "id string, title string"), path, "CHEME", "CHEM")
+    corpus.move_stored(spark.createDataFrame([("1", "n")], "id string, title string"), path, "CHEME", "CHEM")
     spark.catalog.refreshByPath(path)
     assert [r for r in read() if r[2] == "CHEM"] == [] and ("1", "n", "CHEME") in read()
     assert not [p for p in (tmp_path / "t").iterdir() if p.name.startswith("_staged")]
