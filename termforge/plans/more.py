@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from .. import config
 from ..functions import terms as S, text as T
-from ..operators import classifier, corpus, evaluation, evidence, features, keyphrases, lexicon, mining, scoring, spans, strategy
+from ..operators import classifier, corpus, evaluation, evidence, features, keyphrases, lexicon, mining, rerank, scoring, spans, strategy
 from ..streaming import state
 from . import logs, queries as Q
 from .queries import docs, query, r6, tab
@@ -339,3 +339,24 @@ def bandit_choices(spark, d):
     reward = lambda k: (F.col("value") * (k + 1)) % 1
     rewards = F.create_map(*[x for k, a in enumerate(S.ACTIONS) for x in (F.lit(a), reward(k))])
     return state.bandit_choices(e.select(F.col("user_id").alias("route"), "ts", "event_id", rewards.alias("rewards")), list(S.ACTIONS)).withColumn("reward", r6("reward"))
+
+
+@query
+def translations_ranked(spark, d):
+    """The answers of every conversation as candidates for each of its questions, by what they are: the probability of the
+    target language by a classifier of the documents, its mined lexicon and statistics, copying, and the terms kept.
+
+    The source language is the one predicted for the question; the target is English, or French for English questions.
+    """
+    train = docs(spark, d).where("lang is not null and text is not null").select("doc_id", "text", F.col("lang").alias("label"))
+    model = classifier.fit(train, characters=False, max_iter=15)
+    stats = mining.mined(docs(spark, d), Q.P).select("domain", "term", r6("z").alias("z"), r6("delta").alias("delta"))
+    lex = mining.top_by(stats, "z", 300).select("domain", "term")
+    c = tab(spark, d, "conversations").where("text is not null")
+    asked = c.where("role = 'user'").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("case_id"), "conv_id", F.col("text").alias("source"))
+    src = model.probabilities(asked.select("case_id", F.col("source").alias("text")), key="case_id").select("case_id", classifier.best_label("probs")["label"].alias("src"))
+    requests = asked.join(src, "case_id").withColumn("tgt", F.when(F.col("src") == "en", "fr").otherwise("en"))
+    answers = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("cand"), F.col("text").alias("candidate"))
+    cands = asked.select("case_id", "conv_id").join(answers, "conv_id").select("case_id", "cand", "candidate", F.lit(S.ACTIONS[0]).alias("action"))
+    out = rerank.translate(requests.select("case_id", "src", "tgt", "source"), cands, model, lex, stats, p=config.Reward(semantic_floor=0.05))
+    return out.withColumns({x: r6(x) for x in ("total", "domain", "semantic", "lex", "copy", "penalty")})

@@ -170,9 +170,16 @@ def _style(spark, d):
 
 @query
 def lexicon_overlap(spark, d):
-    sets = _style(spark, d).groupBy("domain").agg(F.collect_set("term").alias("s"))
-    a, b = sets.select(F.col("domain").alias("a"), F.col("s").alias("sa")), sets.select(F.col("domain").alias("b"), F.col("s").alias("sb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", r6(F.size(F.array_intersect("sa", "sb")) / F.greatest(F.size(F.array_union("sa", "sb")), F.lit(1))).alias("jaccard"))
+    """Token Jaccard of the domains' style lists; the lists are mined once, and terms meet by themselves."""
+    held = _style(spark, d).groupBy("term").agg(F.array_sort(F.collect_set("domain")).alias("s"))
+    both = held.select(F.explode("s").alias("a"), "s").select("a", F.explode(F.filter("s", lambda x: x >= F.col("a"))).alias("b"))
+    # A number for each pair of domains, a domain with itself too: one small row.
+    counts = both.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "a", "b"), "n"))).alias("n"))
+    names = F.array_sort(F.transform(F.filter(F.map_keys("n"), lambda k: F.split_part(k, F.lit("|"), F.lit(1)) == F.split_part(k, F.lit("|"), F.lit(2))), lambda k: F.split_part(k, F.lit("|"), F.lit(1))))
+    pairs = counts.select("n", names.alias("d")).select("n", "d", F.explode("d").alias("a")).select("n", "a", F.explode(F.filter("d", lambda x: x > F.col("a"))).alias("b"))
+    of = lambda x, y: F.coalesce(F.element_at("n", F.concat_ws("|", x, y)), F.lit(0))
+    shared = of("a", "b")
+    return pairs.select("a", "b", r6(shared / F.greatest(of("a", "a") + of("b", "b") - shared, F.lit(1))).alias("jaccard"))
 
 
 @query
