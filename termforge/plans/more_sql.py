@@ -3,6 +3,7 @@
 from .. import config
 from .logs import SQL as LOG
 from .oracles import _GRID, _TOPIC
+from .oracles import ORACLES as _BASE
 
 _TOK = "regexp_extract_all(lower({}), '[a-z][a-z0-9\\-_/]*')"
 _JAC = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE ELSE 0.0 END"
@@ -214,3 +215,9 @@ r AS (SELECT lang, word, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id
 w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark), l AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
 SELECT l.lang, w.word, coalesce(ids, '') AS doc_ids, CAST(coalesce(n, 0) AS INTEGER) AS n FROM w CROSS JOIN l LEFT JOIN r ON r.lang = l.lang AND r.word = w.word
 """
+ORACLES["detection_scores"] = "WITH s AS (" + _BASE["source_ambiguity"] + """), j AS (SELECT d.lang AS label, s.domain AS guess FROM s JOIN documents d ON d.doc_id = s.doc_id),
+l AS (SELECT DISTINCT label FROM (SELECT label FROM j UNION ALL SELECT guess FROM j)),
+c AS (SELECT l.label, (SELECT count(*) FROM j WHERE j.label IS NOT DISTINCT FROM l.label) AS n, (SELECT count(*) FROM j WHERE guess IS NOT DISTINCT FROM l.label) AS said, (SELECT count(*) FROM j WHERE j.label = l.label AND guess = l.label) AS tp FROM l),
+f AS (SELECT *, CASE WHEN said > 0 THEN tp / said::DOUBLE ELSE 0 END AS p, CASE WHEN n > 0 THEN tp / n::DOUBLE ELSE 0 END AS r FROM c)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(tp) / sum(n)::DOUBLE, 6) AS accuracy, round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS macro_f1 FROM f
+"""
