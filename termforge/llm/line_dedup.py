@@ -99,17 +99,31 @@ class _Lines:
         return with_tokens(each.select("k_doc", "k_part", F.col("x.k_line").alias("k_line"), F.col("x.ord").alias("ord"), F.col("x.line").alias("line")), "line", "tokens", self.shingle)
 
 
-def _later(pairs: DataFrame, sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> DataFrame:
-    """ord of the later line of every pair (x, y) whose Jaccard similarity is num / 100 or more."""
+#: Bits of a line in the bitmap filter, in longs.
+_WORDS = 4
+
+
+def _bits(tokens: DataFrame) -> DataFrame:
+    """(ord, bits) of (ord, tokens): longs in which every token has flipped one bit."""
+    flip = lambda k: F.aggregate(
+        F.filter("tokens", lambda t: F.pmod(t, F.lit(_WORDS)) == k), F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(t, 8), F.lit(64)).cast("int")))
+    )
+    return tokens.select("ord", F.array(*[flip(k) for k in range(_WORDS)]).alias("bits"))
+
+
+def _fetch_ends(pairs: DataFrame, sets: DataFrame, lines: _Lines, scratch: Scratch) -> DataFrame:
+    """(k_doc, k_part, k_line, ord, tokens) of every line in the pairs (x, y)."""
     ends = pairs.select(F.col("x").alias("e")).unionByName(pairs.select(F.col("y").alias("e"))).distinct()
-    tokens = scratch.save(lines.fetch(sets.join(ends, F.col("ord") == F.col("e")).select(*_ID, "ord")))
+    return scratch.save(lines.fetch(sets.join(ends, F.col("ord") == F.col("e")).select(*_ID, "ord")))
+
+
+def _later(pairs: DataFrame, tokens: DataFrame, num: int, scratch: Scratch) -> DataFrame:
+    """ord of the later line of every pair (x, y) whose Jaccard similarity is num / 100 or more."""
     side = lambda p: tokens.select(F.col("ord").alias(p + "ord"), F.struct(*_ID).alias(p + "at"), F.col("tokens").alias(p + "t"))
     both = pairs.join(side("l_"), F.col("x") == F.col("l_ord")).join(side("r_"), F.col("y") == F.col("r_ord"))
     shared = F.size(F.array_intersect("l_t", "r_t"))
     alike = both.where(100 * shared >= num * (F.size("l_t") + F.size("r_t") - shared))
-    out = scratch.save(alike.select(F.when(F.col("l_at") < F.col("r_at"), F.col("r_ord")).otherwise(F.col("l_ord")).alias("gone")).distinct())
-    scratch.discard(tokens)
-    return out
+    return scratch.save(alike.select(F.when(F.col("l_at") < F.col("r_at"), F.col("r_ord")).otherwise(F.col("l_ord")).alias("gone")).distinct())
 
 
 def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> DataFrame:
@@ -168,7 +182,7 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     packed = posting.select("t", "ord", F.expr("cast(n as bigint) * 2147483648 + pos").alias("np"), salt.alias("salt"))
     dealt = packed.repartition("t", "salt").select("t", "ord", F.expr("np div 2147483648").alias("n"), F.expr("np % 2147483648").alias("pos"), "salt").withColumn("band", band)
     size = F.count("*").over(Window.partitionBy("t", "salt"))
-    head = F.min("ord").over(Window.partitionBy("t", "salt", "band"))
+    head = F.min(F.struct("pos", "ord")).over(Window.partitionBy("t", "salt", "band"))["ord"]
     lists = scratch.save(dealt.withColumn("size", size).where("size > 1 or salt > 0").withColumn("head", head).drop("size"))
     scratch.release()
 
@@ -178,17 +192,34 @@ def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     parts = lists.where("salt > 0").select("t", "band", "head").distinct()
     heads = heads.unionByName(parts.join(tops, (F.col("t") == F.col("p_t")) & (F.col("band") == F.col("p_band"))).select("x", F.col("head").alias("y")))
     first_pairs = scratch.save(heads.where("x <> y").distinct())
-    decided = _later(first_pairs, sets, lines, similarity, scratch)
-
-    # Lines still undecided against all others of their lists, but for pairs already compared.
-    side = lambda p: lists.select(*[F.col(c).alias(p + c) for c in ("t", "ord", "n", "pos")])
-    y = side("y_").join(decided.select(F.col("gone").alias("d")), F.col("y_ord") == F.col("d"), "left_anti")
-    fits = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n")))
-    met = y.join(side("x_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_ord") != F.col("y_ord")) & fits)
+    tokens = _fetch_ends(first_pairs, sets, lines, scratch)
+    decided = _later(first_pairs, tokens, similarity, scratch)
+
+    # Lines still undecided against all others of their lists, but for pairs already compared.  A line of a frequent
+    # token meets every part of its list in another task.
+    bits = _bits(tokens)
+    known = scratch.save(lists.join(bits.select(F.col("ord").alias("b_ord"), "bits"), F.col("ord") == F.col("b_ord"), "left").select("t", "salt", "ord", "n", "pos", "bits"))
+    side = lambda p: known.select(*[F.col(c).alias(p + c) for c in known.columns])
+    spread = known.where("salt > 0").groupBy(F.col("t").alias("s_t")).agg(F.max("salt").alias("parts"))
+    y = side("y_").join(decided.select(F.col("gone").alias("d")), F.col("y_ord") == F.col("d"), "left_anti").join(spread, F.col("y_t") == F.col("s_t"), "left")
+    y = y.withColumn("y_part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(1).cast("bigint"), F.col("parts"))))).drop("s_t", "parts", "y_salt")
+    both = F.col("x_n") + F.col("y_n")
+    fits = (100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & ((100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * both)
+    differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(_WORDS)), F.lit(0))
+    # Without bits of both the sum is null, and the pair passes.
+    near = F.coalesce((100 + similarity) * differ <= (100 - similarity) * both, F.lit(True))
+    met = y.join(side("x_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_salt") == F.col("y_part")) & (F.col("x_ord") != F.col("y_ord")) & fits & near)
     rest = met.select(F.least("x_ord", "y_ord").alias("x"), F.greatest("x_ord", "y_ord").alias("y")).distinct()
     seen = first_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     rest = scratch.save(rest.join(seen, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b")), "left_anti"))
-    gone = decided if rest.isEmpty() else decided.unionByName(_later(rest, sets, lines, similarity, scratch)).distinct()
+    scratch.discard(known)
+    scratch.discard(tokens)
+    if rest.isEmpty():
+        gone = decided
+    else:
+        tokens = _fetch_ends(rest, sets, lines, scratch)
+        gone = scratch.save(decided.unionByName(_later(rest, tokens, similarity, scratch)).distinct())
+        scratch.discard(tokens)
     scratch.discard(lists)
 
     removed = sets.join(gone, F.col("ord") == F.col("gone"), "left").where("m > 1 or gone is not null")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from termforge.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality, token_counts, topk_search, toxicity, url_filter
+from termforge.llm import decontamination, html_extraction, line_dedup, mixing, ngram_join, quality, storage, token_counts, topk_search, toxicity, url_filter
 
 LONG = " ".join(f"w{i % 997}x{i % 13}" for i in range(60_000))
 CLASH = ("_bad", "_later", "k_doc", "k_part", "k_line", "_part", "k_gone", "block", "epoch", "weight", "n_removed_", "fold", "cls", "host", "component", "ord", "rank", "total", "shard", "lines_gone", "doc_key")
@@ -191,3 +191,39 @@ def test_url_query_equals_its_sql_on_pages_with_links(spark, tmp_path):
     want = con.execute(f"select {', '.join(names)} from ({oracles.OP8}) order by page_id").fetchall()
     got = [tuple(x) for x in queries.op8(spark, str(tmp_path)).select(*names).orderBy("page_id").collect()]
     assert got == want and {x[4] for x in got if x[3] is None} == {"allow", "block"}
+
+
+def test_bits_differ_in_no_more_places_than_tokens(spark):
+    r = random.Random(5)
+    sets = [sorted({r.randrange(-(2**63), 2**63) for _ in range(n)}) for n in (0, 1, 2, 30, 30, 300)]
+    sets += [s[k:] + [r.randrange(2**62)] for s in sets[3:] for k in (0, 1, 7)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "ord long, tokens array<long>")
+    bits = {x["ord"]: [b & (2**64 - 1) for b in x["bits"]] for x in line_dedup._bits(rows).collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            differ = sum((x ^ y).bit_count() for x, y in zip(bits[i], bits[j]))
+            assert differ <= len(set(a) ^ set(b)) and (differ > 0 or len(set(a) ^ set(b)) % 2 == 0)
+    assert len({tuple(b) for b in bits.values()}) > 8
+
+
+def test_like_lines_without_a_central_one_make_few_pairs(spark, monkeypatch):
+    """Variants of one line that are like it, but hardly like each other: few pairs are left, dealt over parts."""
+    monkeypatch.setattr(line_dedup, "_PART", 8)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for k in range(60):
+        w = list(base)
+        for i in (k, (k + 30) % 60):
+            w[i] = f"x{k}"
+        texts.append(" ".join(w))
+    texts.insert(40, " ".join(base))
+    saved = []
+    save = storage.Scratch.save
+    monkeypatch.setattr(storage.Scratch, "save", lambda self, df: (saved.append(out := save(self, df)), out)[1])
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scratch = storage.Scratch(spark)
+    gone = {r["k_doc"] for r in line_dedup.similar_lines(table, scratch=scratch).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    assert gone == {j for j in range(61) if any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i in range(j))}
+    pairs = [s.count() for s in saved if s.columns == ["x", "y"]]
+    assert len(pairs) == 2 and sum(pairs) < 61 * 60 / 4
