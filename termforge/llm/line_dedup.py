@@ -79,9 +79,9 @@ class _Lines:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, shingle: int):
         self.shingle = shingle
         own = docs.select(F.col(doc_id).alias("k_doc"), F.col(text).alias("k_text"))
-        again = own.groupBy("k_doc").count().where("count > 1").limit(1).count()
+        self.again = own.groupBy("k_doc").count().where("count > 1").limit(1).count()
         # Rows that share an id are told apart by their text.
-        self.part = F.xxhash64("k_text") if again else F.lit(0).cast("bigint")
+        self.part = F.xxhash64("k_text") if self.again else F.lit(0).cast("bigint")
         self.rows = own.where("k_text is not null").withColumn("k_part", self.part)
 
     def all(self) -> DataFrame:
@@ -89,14 +89,13 @@ class _Lines:
         return self.rows.select("k_doc", "k_part", F.posexplode_outer(_lines(F.col("k_text"))).alias("k_line", "line"))
 
     def fetch(self, wanted: DataFrame) -> DataFrame:
-        """(k_doc, k_part, k_line, ord, tokens) of the wanted (k_doc, k_part, k_line, ord)."""
-        lists = wanted.groupBy("k_doc", "k_part").agg(F.collect_set(F.struct("k_line", "ord")).alias("k_lines")).select(F.col("k_doc").alias("w_doc"), F.col("k_part").alias("w_part"), "k_lines")
-        mask, h = _bit_filter(wanted.select("k_doc"), "k_doc")
-        some = self.rows.where(_passes(mask, h))
-        met = some.join(lists, some["k_doc"].eqNullSafe(F.col("w_doc")) & (F.col("k_part") == F.col("w_part")))
-        met = met.dropDuplicates(["k_doc", "k_part"]).withColumn("k_all", _lines(F.col("k_text")))
-        each = met.select("k_doc", "k_part", F.explode_outer(F.transform("k_lines", lambda x: F.struct(x["k_line"].alias("k_line"), x["ord"].alias("ord"), F.get("k_all", x["k_line"]).alias("line")))).alias("x"))
-        return with_tokens(each.select("k_doc", "k_part", F.col("x.k_line").alias("k_line"), F.col("x.ord").alias("ord"), F.col("x.line").alias("line")), "line", "tokens", self.shingle)
+        """(k_doc, k_part, k_line, ord, tokens) of the wanted (k_doc, k_part, k_line, ord); only lines that may be wanted leave their document."""
+        own = wanted.select(F.col("k_doc").alias("w_doc"), F.col("k_part").alias("w_part"), F.col("k_line").alias("w_line"), "ord")
+        mask, h = _bit_filter(wanted.select(F.xxhash64(*_ID).alias("k")), "k")
+        some = self.all().withColumn("k", F.xxhash64(*_ID)).where(_passes(mask, h))
+        met = some.join(own, F.col("k_doc").eqNullSafe(F.col("w_doc")) & (F.col("k_part") == F.col("w_part")) & (F.col("k_line") == F.col("w_line"))).select(*_ID, "ord", "line")
+        # Repeated rows of one id and text bring their lines more than once.
+        return with_tokens(met.dropDuplicates([*_ID, "ord"]) if self.again else met, "line", "tokens", self.shingle)
 
 
 #: Bits of a line in the bitmap filter, in longs.
