@@ -227,3 +227,14 @@ def test_like_lines_without_a_central_one_make_few_pairs(spark, monkeypatch):
     assert gone == {j for j in range(61) if any(100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) for i in range(j))}
     pairs = [s.count() for s in saved if s.columns == ["x", "y"]]
     assert len(pairs) == 2 and sum(pairs) < 61 * 60 / 4
+
+
+def test_a_notice_on_most_pages_leaves_all_of_them(spark):
+    """A block on 49 of 50 pages is constant, one on 40 of 50 is content; an odd page and the partitions change nothing."""
+    page = "<body><div class='box'><p>Read our terms before you go</p>{1}<p>Story {0} goes on.</p></div></body>"
+    rows = [(i, f"http://h/{i}", page.format(i, "<p>Shared line of many stories</p>" if i < 40 else "")) for i in range(49)]
+    rows.append((49, "http://h/49", "<body><h1>Not found</h1></body>"))
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "Shared line of many stories\n" * (i < 40) + f"Story {i} goes on." for i in range(49)} | {49: "Not found"}
+    for n in (1, 7):
+        assert {r["page_id"]: r["text"] for r in html_extraction.extract_main_text(d.repartition(n)).collect()} == want
