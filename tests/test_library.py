@@ -160,6 +160,14 @@ def test_rebuilt_text_takes_the_later_token(spark):
     assert values(corpus.rebuild_from_index(p, order="nth"), "text") == ["aa b"]
 
 
+def test_an_index_is_shuffled_once(spark):
+    """Before, a document's postings were shuffled by position first."""
+    rows = [(1, 1, "b"), (1, 0, "a"), (1, 1, "c"), (1, 2, None), (1, 3, "d"), (1, 3, None), (2, 5, None), (1, None, "x"), (1, None, "y")]
+    got = corpus.rebuild_from_index(spark.createDataFrame(rows, "doc_id long, position int, token string"))
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "y a c d", 2: ""}
+
+
 def test_metrics_keep_labels_that_are_only_predicted(spark):
     p = spark.createDataFrame([("a", "a"), ("a", "b")], "label string, prediction string")
     one, per = evaluation.accuracy_and_macro_f1(p)
