@@ -16,9 +16,8 @@ Fewer than three pages of a host tell nothing constant; there the mark-up alone
 decides.  Words in class names only choose between slots: without article
 mark-up, a slot that holds most of the varying text is content whatever its name
 (reader comments excepted).  Elements below the 200th level count with their
-ancestor at it, and children of two nodes with more than a million pairs are
-aligned by the order of their labels; only the choice of the slot depends on
-either.
+ancestor at it; only the choice of the slot depends on that.  The children of two
+nodes are aligned exactly, however many there are.
 
 Templates are merged in each task first, then by host and salt, then by host, so
 a host with a third of all pages sends only small templates.  The pages that hold a
@@ -34,6 +33,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -58,7 +58,8 @@ _WORDS = frozenset(
 _COMMENTS = frozenset("comment comments disqus replies reply".split())
 _MAIN = {"article": 3, "main": 2}
 _DEPTH = 200
-_WIDE = 1_000_000
+#: Nodes with more child pairs are aligned row by row in NumPy, with the same result.
+_WIDE = 4096
 #: Degrees of boilerplate: by its name, or by its tag, role, visibility or as comments.
 _SOFT, _HARD = 1, 2
 
@@ -228,19 +229,60 @@ def skeleton(root: Node) -> list:
     return top
 
 
+def _structures(nodes: list, known: dict) -> list[int]:
+    """A number for each node, the same for nodes of equal labels all the way down."""
+    return [known.setdefault((x[0], *_structures(x[6], known)), len(known)) for x in nodes]
+
+
+def wide_match(left: list, right: list) -> tuple[int, list]:
+    """As :func:`simple_tree_match` of two nodes with these children.
+
+    Equal children are matched once.  Of the table only every n-th row is kept, n being the root of the number of rows;
+    the rows between are made again on the way back.
+    """
+    known: dict = {}
+    a, b = _structures(left, known), _structures(right, known)
+    _, first, place = np.unique(np.array(b), return_index=True, return_inverse=True)
+    weights: dict[int, np.ndarray] = {}
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        x = left[i]
+        if a[i] not in weights:
+            weights[a[i]] = np.array([simple_tree_match(x, right[k])[0] if x[0] == right[k][0] else 0 for k in first.tolist()], np.int64)
+        out = np.zeros(len(row), np.int64)
+        out[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[a[i]][place]))
+        return out
+
+    step, row, saved = int(len(left) ** 0.5) + 1, np.zeros(len(right) + 1, np.int64), {}
+    for i in range(len(left)):
+        if i % step == 0:
+            saved[i] = row
+        row = after(row, i)
+    most, pairs, i, j = int(row[-1]), [], len(left), len(right)
+    while i and j:
+        base = (i - 1) // step * step
+        rows = [saved[base]]
+        for k in range(base, i):
+            rows.append(after(rows[-1], k))
+        while i > base and j:
+            here = rows[i - base]
+            if here[j] == rows[i - base - 1][j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+    return 1 + most, pairs[::-1]
+
+
 def simple_tree_match(a: list, b: list) -> tuple[int, list]:
     """(number of matched nodes, matched child pairs) of two nodes of one label."""
     left, right = a[6], b[6]
     if not left or not right:
         return 1, []
     if len(left) * len(right) > _WIDE:
-        pairs, j = [], 0
-        for i, x in enumerate(left):
-            k = next((k for k in range(j, min(j + 64, len(right))) if right[k][0] == x[0]), None)
-            if k is not None:
-                pairs.append((i, k))
-                j = k + 1
-        return 1 + len(pairs), pairs
+        return wide_match(left, right)
     w = [[simple_tree_match(x, y)[0] if x[0] == y[0] else 0 for y in right] for x in left]
     m = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(len(left)):
