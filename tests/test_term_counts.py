@@ -59,3 +59,10 @@ def test_a_corpus_is_mined_once(spark, name):
     """Before, the plan mined the texts again for every section and for the sums."""
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_mean_tfidf_with_few_words_in_all_tasks(spark):
+    """Words that are shuffled to meet their idf weigh what those that go to all tasks do."""
+    d = spark.createDataFrame([(i, t, "ab"[i % 2]) for i, t in enumerate(texts())], "doc_id long, text string, lang string")
+    want, *others = ({(r["domain"], r["term"]): r["tfidf_mean"] for r in mining.mean_tfidf(d, most_often=most).collect()} for most in (1 << 17, 1, 4))
+    assert want and all(set(o) == set(want) and all(o[k] == pytest.approx(want[k], rel=1e-9) for k in want) for o in others)
