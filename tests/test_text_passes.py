@@ -2,7 +2,9 @@
 
 import random
 
-from termforge.operators import keyphrases, spans
+from pyspark.sql import functions as F
+
+from termforge.operators import keyphrases, mining, spans
 
 
 def test_texts_of_one_block_are_dealt(spark):
@@ -33,3 +35,20 @@ def test_terms_by_their_tokens_are_those_by_their_text():
         raw = [(toks[i][0], toks[i + n][1]) for i in range(len(near)) for n in (1, 2) if all(near[i : i + n]) and i + n < len(toks)]
         want = {(s, e, spans.technical(text[s:e])) for s, e in (spans.refined(text, *x) for x in raw) if spans.valid(text[s:e])}
         assert set(spans.adjacent(text)) == want
+
+
+def test_phrases_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    """Counts by task equal those of distinct phrases, with repeated and missing ids and domains too, and are dealt."""
+    texts = ["Heat flow map, heat flow map x (y) model z", "heat flow\tmap use  of flow map", None, "", "é heat flow map-2 study flow map"]
+    for ids in ([0, 1, 2, 3, 4], [0, 0, 2, None, None]):
+        rows = [(i, t, k) for k in ("en", None) for i, t in zip(ids, texts)]
+        if len(set(ids)) == 5:
+            rows = [(i, t, k) for i, (_, t, k) in enumerate(rows)]
+        d = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+        want = mining.adjacent_ngrams(d).groupBy("domain", "phrase", "n").agg(F.count("*").alias("df"))
+        for most in (1, 1 << 19):
+            monkeypatch.setattr(mining, "COUNTED_AT_ONCE", most)
+            got = mining.adjacent_counts(d)
+            assert sorted(map(repr, got.select("domain", "phrase", "n", "df").collect())) == sorted(map(repr, want.select("domain", "phrase", "n", "df").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate explode" not in plan
