@@ -15,6 +15,12 @@ pairs are few, as frequent columns come last: a row that differs from a group's
 hub has its own rare columns first, and what it shares with the group comes too
 late for the positional bound.  For all candidates the product is completed over
 their whole rows.
+
+An edited copy that is not like its hub would be open with the whole group.  So
+rows in columns of several components are first multiplied with a few rows of
+these columns, chosen by hash, and the nearest of them is verified.  A bitmap of
+a row, in which every column flips one bit, bounds the columns that two rows do
+not share: no open pair beyond that bound leaves its column.
 """
 
 from __future__ import annotations
@@ -36,6 +42,10 @@ _HOT_LEVEL = 16
 _WIDE = 64
 #: Of a row's shared columns so many of the rarest and of the most frequent are searched for hubs.
 _RARE, _FREQUENT = 4, 12
+#: Longs of a row's bitmap.
+_LONGS = 16
+#: Rows of a column that its rows of other components are held against, and how many of them are verified for a row.
+_TRIED, _NEAREST = 32, 2
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -66,6 +76,12 @@ def signature(grams: np.ndarray) -> int:
     return int((both[:1] * np.uint64(0xE7037ED1A0B428DB) + both[1:]).view(np.int64)[0])
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Longs in which every hash of a set has flipped one bit."""
+    odd = np.bincount((grams >> np.uint64(8)).astype(np.int64) % (64 * _LONGS), minlength=64 * _LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
     """Rarity level of each bucket: 0 up to about the mean, then four to a doubling."""
     mean = counts.mean()
@@ -78,12 +94,13 @@ def _tokens(grams: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
-    """A row (doc_id, n, sig) of each document, and rows (seg, counts) of each task."""
+    """A row (doc_id, n, sig, bits) of each document, and rows (seg, counts) of each task."""
 
     def run(batches):
         size_of = 1 << _COUNTER_BITS
         total = np.zeros(size_of, np.uint32)
         kind = None
+        names = ["doc_id", "n", "sig", "bits", "seg", "counts"]
 
         def add(pend):
             np.add(total, np.bincount(np.concatenate(pend) >> np.uint64(64 - _COUNTER_BITS), minlength=size_of).astype(np.uint32), out=total)
@@ -92,26 +109,28 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             kind = batch.column(0).type
-            size, sig = np.zeros(n, np.int32), np.zeros(n, np.int64)
+            size, sig, bits = np.zeros(n, np.int32), np.zeros(n, np.int64), np.zeros((n, _LONGS), np.int64)
             for r, g in shingle_sets(batch.column(1), k):
                 size[r] = len(g)
                 if len(g):
                     sig[r] = signature(g)
+                    bits[r] = sketch(g)
                     pend.append(g)
                     held += len(g)
                     if held > 1 << 20:
                         add(pend)
                         pend, held = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sig), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "sig", "seg", "counts"])
+            each = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * _LONGS), pa.array(bits.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(sig), each, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if pend:
             add(pend)
         if kind is not None and total.any():
             parts = [zlib.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1) for x in total.reshape(_SEGMENTS, -1)]
             m = _SEGMENTS
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n", "sig", "seg", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, kind), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.list_(pa.int64())), pa.array(range(m), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n int, sig long, seg int, counts binary")
+    return docs.mapInArrow(run, f"doc_id {kind}, n int, sig long, bits array<long>, seg int, counts binary")
 
 
 def _column_levels(rows: DataFrame) -> np.ndarray:
@@ -296,6 +315,14 @@ def _least_shared(num: int, x: str, y: str) -> Column:
     return F.least(need - F.expr(f"({num} * {x} + 99) div 100"), need - F.expr(f"({num} * {y} + 99) div 100")) + 1
 
 
+def _open_columns(columns: DataFrame, members: DataFrame) -> DataFrame:
+    """``columns`` with the component and whether the column is wide; only those with rows of two components."""
+    comp = members.select(F.col("node").alias("c_sig"), "component")
+    now = columns.join(comp, F.col("sig") == F.col("c_sig"), "left").withColumn("component", F.coalesce("component", "sig")).drop("c_sig")
+    mixed = now.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("t").alias("m_t"), (F.col("m") > _WIDE).alias("wide"))
+    return now.join(mixed, F.col("t") == F.col("m_t")).drop("m_t")
+
+
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row.
 
@@ -341,33 +368,51 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = _verified(d, pairs, k, similarity, scratch)
     members = scratch.save(connected_components(links, scratch))
 
-    # What is left: one column, two components, sizes and positions that still allow the overlap.
-    comp = members.select(F.col("node").alias("c_sig"), "component")
-    now = columns.select("t", "sig", "n", "pos").join(comp, F.col("sig") == F.col("c_sig"), "left").withColumn("component", F.coalesce("component", "sig")).drop("c_sig")
-    mixed = now.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select(F.col("t").alias("m_t"), (F.col("m") > _WIDE).alias("wide"))
-    left = now.join(mixed, F.col("t") == F.col("m_t")).drop("m_t")
-    left = scratch.save(left)
+    # What is left: one column, two components, sizes, positions and bitmaps that still allow the overlap.
+    left = _open_columns(columns.select("t", "sig", "n", "pos"), members)
+    asked = left.select(F.col("sig").alias("l_sig")).distinct()
+    sketches = described.where("n > 0").select("sig", "bits").join(asked, F.col("sig") == F.col("l_sig"), "left_semi").distinct()
+    left = scratch.save(left.join(sketches.withColumnRenamed("sig", "s_sig"), F.col("sig") == F.col("s_sig")).drop("s_sig"))
     scratch.discard(columns)
+    del asked, sketches
     scratch.release()
-    wides = left.where("wide").groupBy(F.col("sig").alias("w_sig")).agg(F.count("*").alias("wides"))
 
-    def side(p: str) -> DataFrame:
-        return left.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide")])
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide", "bits")])
 
     # The first column that two similar rows share leaves room for the overlap in both.  Columns of many rows only give
     # products that keep this bound; of the others all are counted, and the wide ones that a row has are the most that is missing.
     fits = 100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")
     room = (100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n"))
-    met = side("x_").join(side("y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits & (~F.col("x_wide") | room))
+    differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(_LONGS)), F.lit(0))
+    near = (100 + similarity) * differ <= (100 - similarity) * (F.col("x_n") + F.col("y_n"))
+
+    # A row of another component than a group of copies meets a few of the group first, so that it is not open with all of them.
+    ranked = left.select("*", F.row_number().over(Window.partitionBy("t").orderBy(F.xxhash64("sig"))).alias("rk")).where(F.col("rk") <= _TRIED)
+    tried = side(left, "x_").join(side(ranked, "y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") != F.col("y_component")) & fits & near)
+    tried = tried.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), (differ / (F.col("x_n") + F.col("y_n"))).alias("far")).distinct()
+    nearest = tried.withColumn("rk", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("rk") <= _NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    seen = pairs.select(F.least("a", "b").alias("p_a"), F.greatest("a", "b").alias("p_b"))
+    unseen = lambda found: found.join(seen, (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b")), "left_anti")
+    more = scratch.save(unseen(nearest))
+    del ranked, tried, nearest
+    scratch.release()
+    if not more.isEmpty():
+        links = links.unionByName(_verified(d, more, k, similarity, scratch))
+        members = scratch.save(connected_components(links, scratch))
+        seen = seen.unionByName(more.toDF("p_a", "p_b"))
+        before, left = left, scratch.save(_open_columns(left.drop("component", "wide"), members))
+        scratch.discard(before)
+        scratch.release()
+
+    wides = left.where("wide").groupBy(F.col("sig").alias("w_sig")).agg(F.count("*").alias("wides"))
+    met = side(left, "x_").join(side(left, "y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits & (~F.col("x_wide") | room) & near)
     met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n").agg(F.count_if(~F.col("x_wide")).alias("count"), F.max(room).alias("room")).where("room")
     for p in ("a", "b"):
         met = met.join(wides.select(F.col("w_sig").alias(p + "_sig"), F.col("wides").alias(p + "_wides")), F.col(p) == F.col(p + "_sig"), "left")
     missing = F.least(F.coalesce("a_wides", F.lit(0)), F.coalesce("b_wides", F.lit(0)))
-    rest = met.where(F.col("count") + missing >= _least_shared(similarity, "x_n", "y_n")).select("a", "b")
-    seen = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"))
-    for p, q in (("p_a", "p_b"), ("p_b", "p_a")):
-        rest = rest.join(seen, (F.col("a") == F.col(p)) & (F.col("b") == F.col(q)), "left_anti")
-    rest = scratch.save(rest)
+    rest = met.where(F.col("count") + missing >= _least_shared(similarity, "x_n", "y_n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = scratch.save(unseen(rest))
     scratch.discard(left)
     del met
     scratch.release()

@@ -229,6 +229,33 @@ def test_like_lines_without_a_central_one_make_few_pairs(spark, monkeypatch):
     assert len(pairs) == 2 and sum(pairs) < 61 * 60 / 4
 
 
+def test_edited_copies_unlike_their_hub_are_not_open_with_the_whole_group(spark, monkeypatch):
+    """Copies with more edits than their hub allows, like some of the others: pairs to verify stay in proportion."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for i in r.sample(range(2, 148, 8), 2 if k % 3 else 5 + k % 2):
+            w[i] = f"e{i}"
+        texts.append(" ".join(w))
+    saved = []
+    save = storage.Scratch.save
+    monkeypatch.setattr(storage.Scratch, "save", lambda self, df: (saved.append(out := save(self, df)), out)[1])
+    monkeypatch.setattr(storage.Scratch, "discard", lambda self, df: None)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(ngram_join.near_duplicates(table).select("doc_id", "component_id").collect())
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(146)} for t in texts]
+    comp = list(range(len(texts)))
+    for _ in range(6):
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(a & b) >= 75 * len(a | b):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    assert got == dict(enumerate(comp))
+    assert max(s.count() for s in saved if s.columns == ["a", "b"]) < 3 * len(texts)
+
+
 def test_a_notice_on_most_pages_leaves_all_of_them(spark):
     """A block on 49 of 50 pages is constant, one on 40 of 50 is content; an odd page and the partitions change nothing."""
     page = "<body><div class='box'><p>Read our terms before you go</p>{1}<p>Story {0} goes on.</p></div></body>"
