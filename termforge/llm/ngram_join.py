@@ -17,10 +17,10 @@ late for the positional bound.  For all candidates the product is completed over
 their whole rows.
 
 An edited copy that is not like its hub would be open with the whole group.  So
-rows in columns of several components are first multiplied with a few rows of
+rows in wide columns of several components are first multiplied with a few rows of
 these columns, chosen by hash, and the nearest of them is verified.  A bitmap of
 a row, in which every column flips one bit, bounds the columns that two rows do
-not share: no open pair beyond that bound leaves its column.
+not share: no open pair beyond that bound leaves a wide column.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ _WIDE = 64
 _RARE, _FREQUENT = 4, 12
 #: Longs of a row's bitmap.
 _LONGS = 16
-#: Rows of a column that its rows of other components are held against, and how many of them are verified for a row.
+#: Rows of a wide column that its rows of other components are held against, and how many of them are verified for a row.
 _TRIED, _NEAREST = 32, 2
 
 
@@ -368,28 +368,32 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     links = _verified(d, pairs, k, similarity, scratch)
     members = scratch.save(connected_components(links, scratch))
 
-    # What is left: one column, two components, sizes, positions and bitmaps that still allow the overlap.
-    left = _open_columns(columns.select("t", "sig", "n", "pos"), members)
-    asked = left.select(F.col("sig").alias("l_sig")).distinct()
-    sketches = described.where("n > 0").select("sig", "bits").join(asked, F.col("sig") == F.col("l_sig"), "left_semi").distinct()
-    left = scratch.save(left.join(sketches.withColumnRenamed("sig", "s_sig"), F.col("sig") == F.col("s_sig")).drop("s_sig"))
+    # What is left: one column, two components, sizes and positions that still allow the overlap.  Rows of wide columns
+    # have their bitmaps with them.
+    left = scratch.save(_open_columns(columns.select("t", "sig", "n", "pos"), members))
     scratch.discard(columns)
+    scratch.release()
+    narrow = left.where("not wide").drop("wide")
+    wide = left.where("wide").drop("wide")
+    asked = wide.select(F.col("sig").alias("l_sig")).distinct()
+    sketches = described.where("n > 0").select(F.col("sig").alias("s_sig"), "bits").join(asked, F.col("s_sig") == F.col("l_sig"), "left_semi").distinct()
+    wide = scratch.save(wide.join(sketches, F.col("sig") == F.col("s_sig")).drop("s_sig"))
     del asked, sketches
     scratch.release()
 
     def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(p + c) for c in ("t", "sig", "n", "pos", "component", "wide", "bits")])
+        return df.select(*[F.col(c).alias(p + c) for c in df.columns])
 
-    # The first column that two similar rows share leaves room for the overlap in both.  Columns of many rows only give
-    # products that keep this bound; of the others all are counted, and the wide ones that a row has are the most that is missing.
+    # The first column that two similar rows share leaves room for the overlap in both.  Wide columns only give products
+    # that keep this bound and the bitmaps'; of the others all are counted, and the wide ones that a row has are the most that is missing.
     fits = 100 * F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")
     room = (100 + similarity) * F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity * (F.col("x_n") + F.col("y_n"))
     differ = sum((F.bit_count(F.get("x_bits", F.lit(k)).bitwiseXOR(F.get("y_bits", F.lit(k)))) for k in range(_LONGS)), F.lit(0))
     near = (100 + similarity) * differ <= (100 - similarity) * (F.col("x_n") + F.col("y_n"))
 
     # A row of another component than a group of copies meets a few of the group first, so that it is not open with all of them.
-    ranked = left.select("*", F.row_number().over(Window.partitionBy("t").orderBy(F.xxhash64("sig"))).alias("rk")).where(F.col("rk") <= _TRIED)
-    tried = side(left, "x_").join(side(ranked, "y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") != F.col("y_component")) & fits & near)
+    ranked = wide.withColumn("rk", F.row_number().over(Window.partitionBy("t").orderBy(F.xxhash64("sig")))).where(F.col("rk") <= _TRIED)
+    tried = side(wide, "x_").join(side(ranked, "y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") != F.col("y_component")) & fits & near)
     tried = tried.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), (differ / (F.col("x_n") + F.col("y_n"))).alias("far")).distinct()
     nearest = tried.withColumn("rk", F.row_number().over(Window.partitionBy("a").orderBy("far", "b"))).where(F.col("rk") <= _NEAREST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     seen = pairs.select(F.least("a", "b").alias("p_a"), F.greatest("a", "b").alias("p_b"))
@@ -401,19 +405,25 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         links = links.unionByName(_verified(d, more, k, similarity, scratch))
         members = scratch.save(connected_components(links, scratch))
         seen = seen.unionByName(more.toDF("p_a", "p_b"))
-        before, left = left, scratch.save(_open_columns(left.drop("component", "wide"), members))
+        before, wide = wide, scratch.save(_open_columns(wide.drop("component"), members).drop("wide"))
         scratch.discard(before)
         scratch.release()
 
-    wides = left.where("wide").groupBy(F.col("sig").alias("w_sig")).agg(F.count("*").alias("wides"))
-    met = side(left, "x_").join(side(left, "y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") < F.col("y_component")) & fits & (~F.col("x_wide") | room) & near)
-    met = met.groupBy(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n").agg(F.count_if(~F.col("x_wide")).alias("count"), F.max(room).alias("room")).where("room")
+    wides = wide.groupBy(F.col("sig").alias("w_sig")).agg(F.count("*").alias("wides"))
+
+    def products(df: DataFrame, counted: int, bound: Column) -> DataFrame:
+        both = side(df, "x_").join(side(df, "y_"), (F.col("x_t") == F.col("y_t")) & (F.col("x_component") != F.col("y_component")) & (F.col("x_sig") < F.col("y_sig")) & fits & bound)
+        return both.select(F.col("x_sig").alias("a"), F.col("y_sig").alias("b"), "x_n", "y_n", F.lit(counted).alias("counted"), room.alias("room"))
+
+    met = products(narrow, 1, F.lit(True)).unionByName(products(wide, 0, room & near))
+    met = met.groupBy("a", "b", "x_n", "y_n").agg(F.sum("counted").alias("count"), F.max("room").alias("room")).where("room")
     for p in ("a", "b"):
         met = met.join(wides.select(F.col("w_sig").alias(p + "_sig"), F.col("wides").alias(p + "_wides")), F.col(p) == F.col(p + "_sig"), "left")
     missing = F.least(F.coalesce("a_wides", F.lit(0)), F.coalesce("b_wides", F.lit(0)))
-    rest = met.where(F.col("count") + missing >= _least_shared(similarity, "x_n", "y_n")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = met.where(F.col("count") + missing >= _least_shared(similarity, "x_n", "y_n")).select("a", "b")
     rest = scratch.save(unseen(rest))
     scratch.discard(left)
+    scratch.discard(wide)
     del met
     scratch.release()
     if not rest.isEmpty():
