@@ -143,7 +143,7 @@ def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> Da
 
     # Tokens that no line has among its first ones are frequent too: all tokens of the lines found are counted.
     _, warm = holding(hot)
-    tokens = fetched(warm)
+    tokens = some = fetched(warm)
     hot = scratch.save(tokens.select(F.explode_outer("tokens").alias("t")).groupBy("t").count().where(F.col("count") > HOT))
     scratch.release()
     maybe, also = holding(hot)
@@ -157,7 +157,13 @@ def _by_rarity(sets: DataFrame, lines: _Lines, num: int, scratch: Scratch) -> Da
     first = F.transform(F.array_except("tokens", F.transform("last", lambda x: x["t"])), lambda t: F.struct(F.lit(0).cast("bigint").alias("c"), t.alias("t")))
     ranked = met.select("ord", F.size("tokens").alias("n"), F.slice(F.concat(first, F.col("last")), F.lit(1), _prefix_len(F.size("tokens"), num)).alias("x"))
     pre = F.transform("x", lambda s: F.struct(s["t"].alias("t"), F.floor(s["c"] / _PART).cast("int").alias("parts")))
-    return plain(sets.where(~warm)).unionByName(ranked.select("ord", "n", pre.alias("pre")))
+    # The first tokens alone are kept: the whole sets and the shuffles that ranked them are gone before the postings are dealt.
+    ranked = scratch.save(ranked.select("ord", "n", pre.alias("pre")))
+    for whole in (some, more):
+        scratch.discard(whole)
+    del tokens, asked, found, met
+    scratch.release()
+    return plain(sets.where(~warm)).unionByName(ranked)
 
 
 def similar_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: int = 75, scratch: Scratch | None = None) -> DataFrame:

@@ -206,6 +206,26 @@ def test_bits_differ_in_no_more_places_than_tokens(spark):
     assert len({tuple(b) for b in bits.values()}) > 8
 
 
+def test_whole_token_sets_are_gone_before_postings_are_dealt(spark, monkeypatch):
+    """Lines that share a frequent token: when lists are saved, no table of whole token sets is kept."""
+    monkeypatch.setattr(line_dedup, "HOT", 2)
+    texts = [f"a b c d e f{i % 5} g{i} h i j k{i}" for i in range(12)]
+    saved, gone, kept = [], set(), []
+    save, discard = storage.Scratch.save, storage.Scratch.discard
+
+    def record(self, df):
+        out = save(self, df)
+        if "head" in out.columns:
+            kept.append([x for x in saved if "tokens" in x.columns and x._scratch_path not in gone])
+        saved.append(out)
+        return out
+
+    monkeypatch.setattr(storage.Scratch, "save", record)
+    monkeypatch.setattr(storage.Scratch, "discard", lambda self, df: (gone.add(df._scratch_path), discard(self, df))[1])
+    line_dedup.similar_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [x for x in saved if "tokens" in x.columns] and kept == [[]]
+
+
 def test_like_lines_without_a_central_one_make_few_pairs(spark, monkeypatch):
     """Variants of one line that are like it, but hardly like each other: few pairs are left, dealt over parts."""
     monkeypatch.setattr(line_dedup, "_PART", 8)
