@@ -92,3 +92,48 @@ def test_statistics_and_lexicons_are_not_cut_at_twenty(spark, tmp_path):
     lexicon = [r.pos for r in run(spark, tmp_path, "mine_simple_lexicon") if r.domain == "en"]
     assert sorted(lexicon) == list(range(1, 201))
     assert {r.domain: r.n_style for r in run(spark, tmp_path, "lexicon_gate")} == {"en": 300, "fr": 300, "de": 300}
+
+
+def nearest(term, lexicon):
+    """The lexicon term of highest token Jaccard, .15 more for a shared anchor, by all pairs."""
+    from termforge.functions import terms as S
+
+    x, found = set(term.split()), []
+    for other in lexicon:
+        y = set(other.split())
+        if x & y:
+            found.append((-round(len(x & y) / len(x | y) + (0.15 if x & y & set(S.ANCHORS) else 0), 9), other))
+    s, other = min(found, default=(0.0, None))
+    return (other, min(1.0, -s)) if s <= -0.25 else (None, 0.0)
+
+
+def test_neighbours_of_strategies_are_those_of_all_pairs(spark):
+    import random
+
+    from termforge.operators import strategy
+
+    r = random.Random(5)
+    words = ["energy", "graph", *"abcdefghijk"]
+    phrase = lambda: " ".join(r.choices(words, k=r.choice([1, 2, 2, 3, 3, 5, 6])))
+    lex, terms = {(d, phrase()) for d in "xy" for _ in range(60)}, {(d, phrase()) for d in "xyz" for _ in range(120)}
+    got = strategy.strategies(spark.createDataFrame(sorted(terms), "domain string, term string"), spark.createDataFrame(sorted(lex), "domain string, term string"), spark.createDataFrame([], "domain string, term string, delta double")).collect()
+    assert {(g.domain, g.term) for g in got} == terms and len(got) == len(terms)
+    for g in got:
+        want = (None, 0.0) if (g.domain, g.term) in lex else nearest(g.term, [t for d, t in lex if d == g.domain])
+        assert (g.neighbor, g.neighbor_score) == want, g
+
+
+def test_every_mined_term_has_a_strategy_in_every_domain(spark, tmp_path):
+    """More terms a domain than fifty, all of them candidates."""
+    texts = [("en", [f"sparse w{chr(97 + i)}{chr(97 + j)}en" for i in range(9) for j in range(9)])] * 6 + [("fr", [f"sparse w{chr(97 + i)}{chr(97 + j)}fr" for i in range(9) for j in range(9)])] * 6
+    rows = [(i, ". ".join(t), lang) for i, (lang, t) in enumerate(texts)] + [(100 + i, "filler", "de") for i in range(20)]
+    write(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
+    got = run(spark, tmp_path, "strategy_all_domains")
+    z = {(r.domain, r.term): r.z for r in run(spark, tmp_path, "mine_dirichlet_logodds")}
+    assert len(got) == len({(g.domain, g.term) for g in got}) == len({t for _, t in z}) * 3 > 900
+    for g in got:
+        own = z[g.domain, g.term] > 0
+        lex = [t for (d, t), s in z.items() if d == g.domain and s > 0]
+        assert (g.native == 1.0) == own
+        want = (None, 0.0) if g.native >= 0.6 else nearest(g.term, lex)
+        assert (g.neighbor, g.neighbor_score) == (want[0], round(want[1], 6)), g
